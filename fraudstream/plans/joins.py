@@ -1,0 +1,21 @@
+"""Join helpers with an explicit size check before broadcasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest dimension (rows) shipped to every executor; above it the join shuffles.
+DEFAULT_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast-hint ``small`` only after proving it has at most ``max_rows`` rows.
+
+    The probe is ``limit(max_rows + 1).count()``: it stops reading once the
+    bound is exceeded, so checking a big side costs at most ``max_rows`` rows.
+    Beyond the bound the frame is returned as is and Catalyst/AQE choose a
+    shuffle join from measured sizes.
+    """
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

@@ -34,6 +34,6 @@ def query(name: str, *, sql: str | None = None, ops: tuple[str, ...] = ()):
 
 
 def registry() -> dict[str, RegisteredQuery]:
-    from . import queries  # noqa: F401  (registers on import)
+    from . import encoding_queries, queries  # noqa: F401  (registers on import)
 
     return dict(_REGISTRY)

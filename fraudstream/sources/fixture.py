@@ -42,6 +42,7 @@ TRANSACTION_COLUMNS = (
     "is_fraud",
     "schema_version",
     "supplier_key",
+    "order_key",
 )
 
 
@@ -84,6 +85,7 @@ def _fixture_columns() -> list[Column]:
         F.when(fraud_draw < fraud_cut, 1).otherwise(0).cast("int").alias("is_fraud"),
         F.lit(1).alias("schema_version"),
         F.col("l_suppkey").alias("supplier_key"),
+        F.col("l_orderkey").alias("order_key"),
     ]
 
 
@@ -146,7 +148,8 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)
                       < CASE WHEN l_extendedprice >= {FRAUD_AMOUNT_LIMIT} THEN 40 ELSE 4 END
                  THEN 1 ELSE 0 END AS INTEGER) AS is_fraud,
        1 AS schema_version,
-       l_suppkey AS supplier_key
+       l_suppkey AS supplier_key,
+       l_orderkey AS order_key
 FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey
