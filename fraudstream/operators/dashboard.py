@@ -199,3 +199,48 @@ def unknown_rate(encoded: DataFrame, *, label_cols: tuple[str, ...], day_col: st
         F.count(F.lit(1)).alias("rows"),
         *[F.round(F.avg((F.col(c) == -1).cast("double")), 6).alias(f"{c}_unknown_rate") for c in label_cols],
     )
+
+
+def pick_presets(scored: DataFrame, *, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """T5: safest legitimate and riskiest fraud among re-timed, re-scored candidates.
+
+    Ties follow candidate order (legitimate: cheapest first; fraud: dearest
+    first), then id. Both or neither: with a class missing the result is empty.
+    """
+    if columns is None:
+        columns = ("trans_num", "amt", "merchant", "category", "is_fraud_prediction", "fraud_probability")
+    row = F.struct(*[F.col(c) for c in columns])
+    p = F.col("fraud_probability")
+    safe_key = F.when(F.col("is_fraud") == 0, F.struct(p, F.col("amt"), F.col("trans_num")))
+    risky_key = F.when(F.col("is_fraud") == 1, F.struct(-p, -F.col("amt"), F.col("trans_num")))
+    picked = scored.agg(F.min_by(row, safe_key).alias("routine"), F.min_by(row, risky_key).alias("suspicious"))
+    both = picked.filter(F.col("routine").isNotNull() & F.col("suspicious").isNotNull())
+    return (
+        both.select(
+            F.inline(
+                F.array(
+                    F.struct(F.lit("routine").alias("preset_id"), F.col("routine").alias("r")),
+                    F.struct(F.lit("suspicious").alias("preset_id"), F.col("suspicious").alias("r")),
+                )
+            )
+        )
+        .select("preset_id", *[F.col(f"r.{c}").alias(c) for c in columns])
+        .withColumnRenamed("is_fraud_prediction", "expected_decision")
+        .withColumnRenamed("fraud_probability", "expected_probability")
+    )
+
+
+def preset_inputs(events: DataFrame) -> DataFrame:
+    """Event -> preset form input (10 fields, renamed)."""
+    return events.select(
+        F.col("amt").alias("amount"),
+        F.col("lat").alias("customer_latitude"),
+        F.col("long").alias("customer_longitude"),
+        F.col("merch_lat").alias("merchant_latitude"),
+        F.col("merch_long").alias("merchant_longitude"),
+        F.col("city_pop").alias("city_population"),
+        "merchant",
+        "category",
+        "gender",
+        "job",
+    )

@@ -86,3 +86,66 @@ def stream_records(events: DataFrame) -> DataFrame:
         F.to_json(payload).alias("value"),
         F.timestamp_seconds("unix_time").alias("timestamp"),
     )
+
+
+# Fixed values of the trace fixture: stage offsets (seconds) and the share of
+# events still in flight (no final stage).
+TRACE_OFFSETS = (0, 1, 2)
+IN_FLIGHT_EVERY = 10
+
+
+def trace_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four stage rows per ``events`` row at ts + 0, 1, 2 and 2 + (event_id % 5) s.
+
+    Events with ``event_id % 10 == 0`` lack the final stage (still processing).
+    ``fraud_probability`` = least(value / 100, 1) with a 0.5 decision threshold,
+    carried by the two scoring stages only.
+    """
+    from ..schemas import TRACE_STAGES
+    from ..operators.trace import DETAIL_ACCEPTED, DETAIL_PERSISTED, DETAIL_SCORED
+
+    ev = read_events(spark, sf_dir)
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    p = F.least(F.col("value") / 100, F.lit(1.0))
+    details = (DETAIL_ACCEPTED, "Published to the transactions topic", DETAIL_SCORED, DETAIL_PERSISTED)
+    offsets = [F.lit(o * 1_000_000) for o in TRACE_OFFSETS] + [(2 + F.col("event_id") % 5) * 1_000_000]
+    stages = []
+    for i, (name, detail, off) in enumerate(zip(TRACE_STAGES, details, offsets)):
+        scoring = i >= 2
+        stages.append(
+            F.struct(
+                F.lit(name).alias("stage"),
+                F.lit(detail).alias("detail"),
+                F.timestamp_micros(ts + off).alias("occurred_at"),
+                (p if scoring else F.lit(None).cast("double")).alias("fraud_probability"),
+                ((p >= 0.5).cast("int") if scoring else F.lit(None).cast("int")).alias("is_fraud_prediction"),
+                (F.lit("rule-v1") if scoring else F.lit(None).cast("string")).alias("model_version"),
+            )
+        )
+    rows = ev.select(
+        F.col("event_id").cast("string").alias("trans_num"),
+        "event_id",
+        F.col("value").cast("decimal(18,2)").alias("amt"),
+        F.concat(F.lit("fraud_user_"), F.col("user_id").cast("string")).alias("merchant"),
+        F.col("event_type").alias("category"),
+        F.inline(F.array(*stages)),
+    )
+    rows = rows.filter(~((F.col("event_id") % IN_FLIGHT_EVERY == 0) & (F.col("stage") == TRACE_STAGES[-1])))
+    return rows.select(
+        "trans_num",
+        "occurred_at",
+        "stage",
+        "detail",
+        "amt",
+        "merchant",
+        "category",
+        "fraud_probability",
+        "is_fraud_prediction",
+        "model_version",
+    )
+
+
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tables import read_table
+
+    return read_table(spark, sf_dir, "events")
