@@ -34,6 +34,6 @@ def query(name: str, *, sql: str | None = None, ops: tuple[str, ...] = ()):
 
 
 def registry() -> dict[str, RegisteredQuery]:
-    from . import encoding_queries, metric_queries, ops_queries, queries  # noqa: F401  (registers on import)
+    from . import encoding_queries, metric_queries, model_queries, ops_queries, queries  # noqa: F401
 
     return dict(_REGISTRY)
