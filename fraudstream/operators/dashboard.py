@@ -82,8 +82,7 @@ def category_risk(scored: DataFrame, *, top: int = 6, unknown_label: str | None
     )
 
 
-def holdout_totals(scored: DataFrame) -> DataFrame:
-    """A4 + A5 + T6 in one aggregate pass over the scored hold-out set."""
+def _totals_columns() -> list[Column]:
     actual = F.col("is_fraud")
     pred = F.col("is_fraud_prediction")
     p = F.col("fraud_probability")
@@ -91,7 +90,7 @@ def holdout_totals(scored: DataFrame) -> DataFrame:
     def cell(a: int, b: int) -> Column:
         return F.sum(((actual == a) & (pred == b)).cast("long"))
 
-    return scored.agg(
+    return [
         F.count(F.lit(1)).alias("rows"),
         F.sum(pred.cast("long")).alias("predicted_fraud"),
         F.sum(actual.cast("long")).alias("actual_fraud"),
@@ -104,35 +103,40 @@ def holdout_totals(scored: DataFrame) -> DataFrame:
         cell(0, 1).alias("false_positive"),
         cell(1, 0).alias("false_negative"),
         cell(0, 0).alias("true_negative"),
-    )
-
+    ]
 
-def extreme_rows(scored: DataFrame, *, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Safest legitimate (min p) and riskiest fraud (max p); ties -> smaller id.
 
-    One aggregate pass with ``min_by`` over a struct key; no sort of the data.
-    """
-    if columns is None:
-        columns = (
-            "trans_num",
-            "amt",
-            "lat",
-            "long",
-            "merch_lat",
-            "merch_long",
-            "city_pop",
-            "merchant",
-            "category",
-            "gender",
-            "job",
-            "is_fraud_prediction",
-            "fraud_probability",
-        )
+def holdout_totals(scored: DataFrame) -> DataFrame:
+    """A4 + A5 in one aggregate pass over the scored hold-out set."""
+    return scored.agg(*_totals_columns())
+
+
+PRESET_COLUMNS = (
+    "trans_num",
+    "amt",
+    "lat",
+    "long",
+    "merch_lat",
+    "merch_long",
+    "city_pop",
+    "merchant",
+    "category",
+    "gender",
+    "job",
+    "is_fraud_prediction",
+    "fraud_probability",
+)
+
+
+def _extreme_aggs(columns: tuple[str, ...]) -> list[Column]:
     row = F.struct(*[F.col(c) for c in columns])
     p = F.col("fraud_probability")
     safe_key = F.when(F.col("is_fraud") == 0, F.struct(p.alias("k"), F.col("trans_num").alias("t")))
     risky_key = F.when(F.col("is_fraud") == 1, F.struct((-p).alias("k"), F.col("trans_num").alias("t")))
-    picked = scored.agg(F.min_by(row, safe_key).alias("routine"), F.min_by(row, risky_key).alias("suspicious"))
+    return [F.min_by(row, safe_key).alias("routine"), F.min_by(row, risky_key).alias("suspicious")]
+
+
+def _unfold_presets(picked: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return (
         picked.select(
             F.inline(
@@ -149,6 +153,14 @@ def extreme_rows(scored: DataFrame, *, columns: tuple[str, ...] | None = None) -
     )
 
 
+def extreme_rows(scored: DataFrame, *, columns: tuple[str, ...] = PRESET_COLUMNS) -> DataFrame:
+    """Safest legitimate (min p) and riskiest fraud (max p); ties -> smaller id.
+
+    One aggregate pass with ``min_by`` over a struct key; no sort of the data.
+    """
+    return _unfold_presets(scored.agg(*_extreme_aggs(columns)), columns)
+
+
 def latest_rows(scored: DataFrame, n: int = 12, *, time_col: str = "unix_time") -> DataFrame:
     """Newest n rows (ties -> smaller id)."""
     return scored.orderBy(F.desc(time_col), F.asc("trans_num")).limit(n)
@@ -244,3 +256,37 @@ def preset_inputs(events: DataFrame) -> DataFrame:
         "gender",
         "job",
     )
+
+
+def holdout_snapshot(scored: DataFrame, *, persist: bool = True) -> dict[str, list[dict]]:
+    """L3(b) / S13: the hold-out analytics documents from one scored frame.
+
+    The scored frame (projected to the used columns) is persisted once and
+    serves three small jobs: totals + extreme rows in one aggregate, category
+    top 6, newest 12. Only these small results reach the driver.
+    """
+    from pyspark import StorageLevel
+
+    cols = [
+        "trans_num", "trans_date_trans_time", "unix_time", "merchant", "category", "amt", "lat", "long",
+        "city_pop", "merch_lat", "merch_long", "gender", "job", "is_fraud", "is_fraud_prediction",
+        "fraud_probability",
+    ]
+    frame = scored.select(*cols)
+    if persist:
+        frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # totals, confusion cells and both preset rows: one aggregate pass
+        summary = frame.agg(*_totals_columns(), *_extreme_aggs(PRESET_COLUMNS)).first()
+        totals = {k: summary[k] for k in summary.asDict() if k not in ("routine", "suspicious")}
+        extremes = [
+            {"preset_id": name, **summary[name].asDict()} for name in ("routine", "suspicious") if summary[name]
+        ]
+        categories = [r.asDict() for r in category_risk(frame, unknown_label=None).collect()]
+        recent = [r.asDict() for r in latest_rows(frame, 12).collect()]
+    finally:
+        if persist:
+            frame.unpersist()
+    minutes = max((totals["maximum_time"] - totals["minimum_time"]) / 60, 1 / 60) if totals["rows"] else 1 / 60
+    totals["transactions_per_minute"] = totals["rows"] / minutes
+    return {"totals": [totals], "category_risk": categories, "recent": recent, "presets": extremes}

@@ -45,6 +45,14 @@ def fit_dictionary(train: DataFrame, columns: tuple[str, ...] = CATEGORICAL_COLU
     )
 
 
+def materialize(dictionary: DataFrame) -> DataFrame:
+    """Eager checkpoint into the shared ``spark.checkpoint.dir`` (cuts the lineage)."""
+    from ..session import shared_dir
+
+    shared_dir(dictionary.sparkSession)
+    return dictionary.checkpoint(eager=True)
+
+
 def leaky_dictionary(train: DataFrame, holdout: DataFrame, columns=CATEGORICAL_COLUMNS) -> DataFrame:
     """The legacy variant fitted over train ∪ hold-out (a leak; kept as a contrast)."""
     both = train.select(*columns).unionByName(holdout.select(*columns))

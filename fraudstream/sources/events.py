@@ -34,11 +34,19 @@ def _defect(name: str) -> Column:
     return F.col("order_key") % prime == 0
 
 
+def train_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary fitted on the training split, materialised once (small, bounded
+    by the vocabulary) in the shared checkpoint folder, so later lookups read it
+    instead of re-running the fixture join."""
+    from ..operators.encoders import materialize
+
+    txn = fixture.transactions(spark, sf_dir)
+    return materialize(fit_dictionary(fixture.train_split(txn)))
+
+
 def encoded_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All transactions with labels from the dictionary fitted on the training split."""
-    txn = fixture.transactions(spark, sf_dir)
-    dictionary = fit_dictionary(fixture.train_split(txn))
-    return encode(txn, dictionary)
+    return encode(fixture.transactions(spark, sf_dir), train_dictionary(spark, sf_dir))
 
 
 def inject_defects(encoded: DataFrame) -> DataFrame:

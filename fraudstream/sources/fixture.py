@@ -91,8 +91,8 @@ def _fixture_columns() -> list[Column]:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled transactions, one per lineitem row, with a unique ``trans_num``."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"
+    li = read_table(
+        spark, sf_dir, "lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     )
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")

@@ -26,8 +26,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; callers select columns so pruning reaches the reader."""
+# Fact tables whose rows drive the row-level work (joins, scoring, parsing).
+FACT_TABLES = ("lineitem", "events")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Parquet scan of one driver table, optionally projected at the reader.
+
+    Fact tables are spread over the cluster when the scan yields fewer input
+    splits than task slots (a file written as one row group is one split);
+    on a large input with many splits this is a no-op and adds no shuffle.
+    """
     if name not in DRIVER_TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if columns is not None:
+        df = df.select(*columns)
+    if name in FACT_TABLES:
+        df = spread(df)
+    return df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when there are fewer splits than task slots."""
+    slots = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
