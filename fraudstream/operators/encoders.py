@@ -46,11 +46,16 @@ def fit_dictionary(train: DataFrame, columns: tuple[str, ...] = CATEGORICAL_COLU
 
 
 def materialize(dictionary: DataFrame) -> DataFrame:
-    """Eager checkpoint into the shared ``spark.checkpoint.dir`` (cuts the lineage)."""
+    """Write the dictionary once as a table in the shared ``spark.checkpoint.dir``
+    and read it back: one pass, and later lookups no longer carry the fit's lineage."""
+    import uuid
+
     from ..session import shared_dir
 
-    shared_dir(dictionary.sparkSession)
-    return dictionary.checkpoint(eager=True)
+    spark = dictionary.sparkSession
+    path = shared_dir(spark, "dictionaries", uuid.uuid4().hex)
+    dictionary.coalesce(1).write.parquet(path)
+    return spark.read.schema(DICTIONARY_SCHEMA).parquet(path)
 
 
 def leaky_dictionary(train: DataFrame, holdout: DataFrame, columns=CATEGORICAL_COLUMNS) -> DataFrame:

@@ -30,43 +30,62 @@ def class_counts(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def take_quota_by_hash(
+def mark_quota_by_hash(
     df: DataFrame,
     quotas: DataFrame,
     *,
     class_col: str = "is_fraud",
     key: str = "trans_num",
     seed: int = DEFAULT_SEED,
+    flag: str = "in_quota",
 ) -> DataFrame:
-    """Per class, the ``quota`` rows with the smallest hash (ties -> key).
+    """All rows plus ``flag``: true for the ``quota`` rows of each class with the smallest hash.
 
-    ``quotas``: (class_col, quota) with one row per class, so broadcasting it
-    is bounded by the number of classes.
+    ``quotas``: (class_col, quota), one row per class; classes without a row get 0.
+    The per-class cut (at most one row per class) is broadcast; only rows of
+    the boundary bucket are ranked.
     """
-    h = hash_order(key, seed)
-    hashed = df.withColumn("__h", h).withColumn(
+    big = 1 << 30
+    hashed = df.withColumn("__h", hash_order(key, seed)).withColumn(
         "__b", F.conv(F.substring("__h", 1, HASH_PREFIX_DIGITS), 16, 10).cast("int")
     )
     hist = hashed.groupBy(class_col, "__b").agg(F.count(F.lit(1)).alias("__n"))
     cum = Window.partitionBy(class_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("__cum", F.sum("__n").over(cum)).withColumn("__before", F.col("__cum") - F.col("__n"))
+    q = quotas.select(class_col, F.col("quota").cast("long").alias("__q"))
+    totals = hist.groupBy(class_col).agg(F.max("__cum").alias("__total")).join(F.broadcast(q), class_col, "left")
+    totals = totals.withColumn("__q", F.coalesce("__q", F.lit(0)))
     boundary = (
-        hist.join(F.broadcast(quotas.select(class_col, F.col("quota").cast("long").alias("__q"))), class_col)
+        hist.join(F.broadcast(q), class_col)
         .filter((F.col("__before") < F.col("__q")) & (F.col("__cum") >= F.col("__q")))
-        .select(class_col, F.col("__b").alias("__bstar"), (F.col("__q") - F.col("__before")).alias("__need"))
+        .select(class_col, F.col("__b").alias("__edge"), (F.col("__q") - F.col("__before")).alias("__need0"))
+    )
+    cut = totals.join(boundary, class_col, "left").select(
+        class_col,
+        F.coalesce("__edge", F.when(F.col("__q") >= F.col("__total"), F.lit(big)).otherwise(F.lit(-1))).alias("__bstar"),
+        F.coalesce("__need0", F.lit(0)).alias("__need"),
     )
-    # classes whose quota exceeds their rows: take everything
-    totals = hist.groupBy(class_col).agg(F.sum("__n").alias("__total"))
-    take_all = totals.join(F.broadcast(quotas.select(class_col, F.col("quota").alias("__q"))), class_col).filter(
-        F.col("__q") >= F.col("__total")
-    ).select(class_col, F.lit(1 << 30).alias("__bstar"), F.lit(0).cast("long").alias("__need"))
-    cut = F.broadcast(boundary.unionByName(take_all))
-    marked = hashed.join(cut, class_col)
-    below = marked.filter(F.col("__b") < F.col("__bstar"))
-    edge = marked.filter(F.col("__b") == F.col("__bstar"))
+    marked = hashed.join(F.broadcast(cut), class_col)
+    outside = marked.filter(F.col("__b") != F.col("__bstar")).withColumn(flag, F.col("__b") < F.col("__bstar"))
     rank = Window.partitionBy(class_col).orderBy("__h", key)
-    edge = edge.withColumn("__r", F.row_number().over(rank)).filter(F.col("__r") <= F.col("__need")).drop("__r")
-    return below.unionByName(edge).drop("__h", "__b", "__bstar", "__need")
+    edge = (
+        marked.filter(F.col("__b") == F.col("__bstar"))
+        .withColumn(flag, F.row_number().over(rank) <= F.col("__need"))
+    )
+    return outside.unionByName(edge).drop("__h", "__b", "__bstar", "__need")
+
+
+def take_quota_by_hash(
+    df: DataFrame,
+    quotas: DataFrame,
+    *,
+    class_col: str = "is_fraud",
+    key: str = "trans_num",
+    seed: int = DEFAULT_SEED,
+) -> DataFrame:
+    """Per class, the ``quota`` rows with the smallest hash (ties -> key)."""
+    marked = mark_quota_by_hash(df, quotas, class_col=class_col, key=key, seed=seed, flag="__take")
+    return marked.filter(F.col("__take")).drop("__take")
 
 
 def stratified_sample(
@@ -108,16 +127,12 @@ def stratified_split(
     key: str = "trans_num",
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """Adds ``split`` in {train, test}; per class round(fraction * rows) go to test."""
+    """Adds ``split`` in {train, test}; per class ceil(fraction * rows) rows go to test."""
     quotas = class_counts(df, label).select(
         label, F.ceil(F.col("rows") * F.lit(test_fraction) - F.lit(1e-9)).cast("long").alias("quota")
     )
-    test = take_quota_by_hash(df, quotas, class_col=label, key=key, seed=seed).select(key).withColumn(
-        "__test", F.lit(True)
-    )
-    return df.join(test, key, "left").select(
-        *df.columns, F.when(F.col("__test"), "test").otherwise("train").alias("split")
-    )
+    marked = mark_quota_by_hash(df, quotas, class_col=label, key=key, seed=seed, flag="__test")
+    return marked.select(*df.columns, F.when(F.col("__test"), "test").otherwise("train").alias("split"))
 
 
 def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = DEFAULT_SEED) -> list[DataFrame]:

@@ -307,3 +307,21 @@ SELECT trans_num, is_fraud, CASE WHEN r <= ceil(n * 0.1 - 1e-9) THEN 'test' ELSE
 def q_stratified_split(spark, sf_dir):
     txn = fixture.transactions(spark, sf_dir).select("trans_num", "is_fraud")
     return sampling.stratified_split(txn, 0.1).select("trans_num", "is_fraud", "split")
+
+
+REPLAY_MAX_RECORDS = 1000
+
+
+@query(
+    "replay_first_records",
+    ops=("S6", "S5"),
+    sql=with_encoding(
+        f"SELECT trans_num AS key, amt, unix_time FROM events_v1 WHERE len({reasons_sql('default')}) = 0 "
+        f"ORDER BY key LIMIT {REPLAY_MAX_RECORDS}"
+    ),
+)
+def q_replay_first_records(spark, sf_dir):
+    """A bounded replay (``max_records``): the first N valid messages in key order."""
+    msgs = replay_messages(transaction_events(spark, sf_dir), max_records=REPLAY_MAX_RECORDS)
+    parsed = parse_messages(msgs)
+    return parsed.select("key", F.col("transaction.amt").alias("amt"), F.col("transaction.unix_time").alias("unix_time"))

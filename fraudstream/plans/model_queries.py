@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, metrics, model
-from ..schemas import LABEL_COLUMNS
+from ..schemas import LABEL_COLUMNS, MODEL_COLUMNS
 from ..sources import fixture
 from ..sources.events import encoded_transactions
 from .registry import query
@@ -82,3 +82,34 @@ def q_ml_label_indexing(spark, sf_dir):
         *[F.col(f"{c}_index").cast("int").alias(f"{c}_index") for c in LABEL_COLUMNS],
         *[F.size(vector_to_array(f"{c}_vector")).alias(f"{c}_width") for c in LABEL_COLUMNS],
     )
+
+
+@query("ml_baseline_accuracy", ops=("M9", "E10"))
+def q_ml_baseline_accuracy(spark, sf_dir):
+    """M9: the exploratory baseline (assembler + 10-tree forest, maxBins 700) on an 80/20 random split."""
+    from ..operators import sampling
+
+    enc = encoded_transactions(spark, sf_dir)
+    train, test = sampling.random_split(enc.select("trans_num", *MODEL_COLUMNS))
+    fitted = model.baseline_pipeline().fit(train)
+    pred = fitted.transform(test)
+    return pred.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.round(F.avg((F.col("prediction") == F.col("is_fraud")).cast("double")), 6).alias("accuracy"),
+    )
+
+
+@query("snapshot_export", ops=("S13", "S11", "A4", "T3", "T6"))
+def q_snapshot_export(spark, sf_dir):
+    """Hold-out documents (rule score) written as JSON lines and read back."""
+    import json
+    import uuid
+
+    from ..operators.scoring import rule_scored
+    from ..session import shared_dir
+
+    docs = dashboard.holdout_snapshot(rule_scored(fixture.transactions(spark, sf_dir)))
+    path = shared_dir(spark, "exports", uuid.uuid4().hex)
+    lines = [(name, json.dumps(rows, default=str, sort_keys=True)) for name, rows in docs.items()]
+    spark.createDataFrame(lines, "document string, body string").coalesce(1).write.json(path)
+    return spark.read.schema("document string, body string").json(path)

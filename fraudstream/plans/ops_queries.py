@@ -505,3 +505,18 @@ def q_transaction_trace(spark, sf_dir):
         F.col("event_id").cast("string").alias("trans_num"), F.col("event_type").alias("category")
     )
     return trace.with_trace(ev, trace.rollup(_trace(spark, sf_dir))).select("trans_num", "category", "trace_status")
+
+
+@query(
+    "prediction_join",
+    ops=("J2",),
+    sql=with_base(
+        "SELECT t.trans_num, t.amt, t.category, s.is_fraud_prediction, s.fraud_probability "
+        "FROM transactions t JOIN scored s ON t.trans_num = s.trans_num"
+    ),
+)
+def q_prediction_join(spark, sf_dir):
+    """Decisions computed on a key-only frame matched back to their events by id."""
+    txn = fixture.transactions(spark, sf_dir)
+    decisions = rule_scored(txn).select("trans_num", "is_fraud_prediction", "fraud_probability")
+    return txn.select("trans_num", "amt", "category").join(decisions, "trans_num")

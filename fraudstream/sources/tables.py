@@ -22,6 +22,27 @@ DRIVER_TABLES = (
 )
 
 
+# Explicit schemas of the driver tables this package reads (no footer inference
+# at plan time; a file that disagrees fails at read instead of drifting).
+DRIVER_SCHEMAS: dict[str, str] = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -39,17 +60,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str,
     """
     if name not in DRIVER_TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(table_path(sf_dir, name))
+    reader = spark.read
+    if name in DRIVER_SCHEMAS:
+        reader = reader.schema(DRIVER_SCHEMAS[name])
+    df = reader.parquet(table_path(sf_dir, name))
     if columns is not None:
         df = df.select(*columns)
     if name in FACT_TABLES:
-        df = spread(df)
+        df = spread(df, key=table_path(sf_dir, name))
     return df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when there are fewer splits than task slots."""
+_SPLITS: dict[tuple[int, str], int] = {}
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, *, key: str | None = None) -> DataFrame:
+    """Round-robin repartition only when there are fewer splits than task slots.
+
+    The split count of a path is probed once per session (``key``).
+    """
     slots = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    cache_key = (id(df.sparkSession), key) if key else None
+    if cache_key is not None and cache_key in _SPLITS:
+        splits = _SPLITS[cache_key]
+    else:
+        splits = df.rdd.getNumPartitions()
+        if cache_key is not None:
+            _SPLITS[cache_key] = splits
+    if splits < slots:
         return df.repartition(slots)
     return df

@@ -94,3 +94,19 @@ def test_request_bounds(spark):
 
 def test_nan_is_not_finite():
     assert math.isnan(float("nan"))
+
+
+def test_valid_plus_invalid_is_everything(spark):
+    from fraudstream.sources.events import transaction_events
+    from fraudstream.sources.replay import replay_messages
+    from fraudstream.functions.contract import contract_valid, validate_columns
+
+    ev = transaction_events(spark, "/root/testdata/sf0.001")
+    total = ev.count()
+    ok = ev.filter(contract_valid()).count()
+    bad = ev.filter(~contract_valid()).count()
+    assert ok + bad == total and bad > 0
+    # replay defaults a missing version to 1, so it keeps at least the stream-valid rows
+    assert replay_messages(ev).count() >= ok
+    with pytest.raises(ValueError, match="missing required columns: amt, trans_num"):
+        validate_columns(ev.drop("amt", "trans_num"), source="x", required={"amt", "trans_num", "lat"})
