@@ -53,6 +53,7 @@ def mark_quota_by_hash(
     cum = Window.partitionBy(class_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("__cum", F.sum("__n").over(cum)).withColumn("__before", F.col("__cum") - F.col("__n"))
     q = quotas.select(class_col, F.col("quota").cast("long").alias("__q"))
+    # totals / boundary / cut hold at most one row per class: broadcasting them is bounded
     totals = hist.groupBy(class_col).agg(F.max("__cum").alias("__total")).join(F.broadcast(q), class_col, "left")
     totals = totals.withColumn("__q", F.coalesce("__q", F.lit(0)))
     boundary = (
@@ -60,7 +61,7 @@ def mark_quota_by_hash(
         .filter((F.col("__before") < F.col("__q")) & (F.col("__cum") >= F.col("__q")))
         .select(class_col, F.col("__b").alias("__edge"), (F.col("__q") - F.col("__before")).alias("__need0"))
     )
-    cut = totals.join(boundary, class_col, "left").select(
+    cut = totals.join(F.broadcast(boundary), class_col, "left").select(
         class_col,
         F.coalesce("__edge", F.when(F.col("__q") >= F.col("__total"), F.lit(big)).otherwise(F.lit(-1))).alias("__bstar"),
         F.coalesce("__need0", F.lit(0)).alias("__need"),

@@ -12,7 +12,7 @@ from ..operators import dashboard, encoders, results, trace
 from ..operators.scoring import rule_scored
 from ..schemas import LABEL_COLUMNS
 from ..sources import fixture
-from ..sources.events import read_events, trace_from_events
+from ..sources.events import read_events, trace_from_events, train_dictionary
 from .oracle import HAV_A_SQL, MILES_SQL, dictionary_cte, with_base
 from .registry import query
 
@@ -334,7 +334,7 @@ LEFT JOIN dict d4 ON d4.column_name = 'job' AND d4.value = ok.job
 )
 def q_request_events(spark, sf_dir):
     txn = fixture.transactions(spark, sf_dir)
-    dictionary = encoders.fit_dictionary(fixture.train_split(txn))
+    dictionary = train_dictionary(spark, sf_dir)
     req = txn.select(
         F.col("trans_num").alias("request_id"),
         F.col("amt").alias("amount"),
