@@ -34,6 +34,6 @@ def query(name: str, *, sql: str | None = None, ops: tuple[str, ...] = ()):
 
 
 def registry() -> dict[str, RegisteredQuery]:
-    from . import encoding_queries, metric_queries, model_queries, ops_queries, queries, stream_queries  # noqa: F401
+    from . import encoding_queries, io_queries, metric_queries, model_queries, ops_queries, queries, stream_queries  # noqa: F401
 
     return dict(_REGISTRY)
