@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.contract import validate_columns
 from ..sources.replay import write_preprocessed
@@ -50,9 +49,3 @@ def drop_for_modelling(df: DataFrame) -> DataFrame:
     from ..schemas import CLEANING_DROP_COLUMNS
 
     return df.drop(*CLEANING_DROP_COLUMNS)
-
-
-def label_rate(df: DataFrame) -> float:
-    """Fraud share of a frame (one aggregate)."""
-    r = df.agg(F.avg(F.col("is_fraud").cast("double")).alias("rate")).first()
-    return float(r["rate"] or 0.0)

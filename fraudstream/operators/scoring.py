@@ -76,10 +76,3 @@ def result_rows(scored: DataFrame) -> DataFrame:
         "fraud_probability",
         "model_version",
     )
-
-
-def alert_rows(results: DataFrame) -> DataFrame:
-    """Flagged rows only (the alerts table)."""
-    return results.filter(F.col("is_fraud_prediction") == 1).withColumnRenamed(
-        "transaction_day", "alert_day"
-    )

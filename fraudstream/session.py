@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -60,12 +59,3 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts]) if parts else base
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so the path can be used with os functions."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def path_exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
