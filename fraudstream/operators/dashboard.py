@@ -220,8 +220,22 @@ def pick_presets(scored: DataFrame, *, columns: tuple[str, ...] | None = None) -
     first), then id. Both or neither: with a class missing the result is empty.
     """
     if columns is None:
-        columns = ("trans_num", "amt", "merchant", "category", "is_fraud_prediction", "fraud_probability")
-    row = F.struct(*[F.col(c) for c in columns])
+        columns = ("trans_num", "is_fraud_prediction", "fraud_probability")
+    # The preset carries the scoring form's ten input fields under their form names
+    inputs = {
+        "amount": "amt",
+        "customer_latitude": "lat",
+        "customer_longitude": "long",
+        "merchant_latitude": "merch_lat",
+        "merchant_longitude": "merch_long",
+        "city_population": "city_pop",
+        "merchant": "merchant",
+        "category": "category",
+        "gender": "gender",
+        "job": "job",
+    }
+    row = F.struct(*[F.col(c) for c in columns], *[F.col(src).alias(dst) for dst, src in inputs.items()])
+    columns = (*columns, *inputs)
     p = F.col("fraud_probability")
     safe_key = F.when(F.col("is_fraud") == 0, F.struct(p, F.col("amt"), F.col("trans_num")))
     risky_key = F.when(F.col("is_fraud") == 1, F.struct(-p, -F.col("amt"), F.col("trans_num")))

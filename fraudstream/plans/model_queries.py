@@ -108,8 +108,21 @@ def q_snapshot_export(spark, sf_dir):
     from ..operators.scoring import rule_scored
     from ..session import shared_dir
 
+    import datetime as dt
+
+    from ..schemas import SCHEMA_VERSION
+
     docs = dashboard.holdout_snapshot(rule_scored(fixture.transactions(spark, sf_dir)))
     path = shared_dir(spark, "exports", uuid.uuid4().hex)
-    lines = [(name, json.dumps(rows, default=str, sort_keys=True)) for name, rows in docs.items()]
+    meta = {
+        "mode": "snapshot",
+        "exported_at": dt.datetime.now(dt.timezone.utc).isoformat(),
+        "source": "complete held out replay dataset",
+        "schema_version": SCHEMA_VERSION,
+    }
+    lines = [
+        (name, json.dumps({"rows": rows, "_snapshot": meta}, default=str, sort_keys=True))
+        for name, rows in docs.items()
+    ]
     spark.createDataFrame(lines, "document string, body string").coalesce(1).write.json(path)
     return spark.read.schema("document string, body string").json(path)

@@ -205,13 +205,18 @@ cand AS (
   UNION ALL
   (SELECT * FROM scored WHERE is_fraud = 1 ORDER BY amt DESC, trans_num ASC LIMIT 64)
 ),
+form AS (
+  SELECT trans_num, is_fraud, is_fraud_prediction AS expected_decision, fraud_probability AS expected_probability,
+         amt AS amount, lat AS customer_latitude, long AS customer_longitude, merch_lat AS merchant_latitude,
+         merch_long AS merchant_longitude, city_pop AS city_population, merchant, category, gender, job
+  FROM cand
+),
 picked AS (
-  (SELECT 'routine' AS preset_id, trans_num, amt, merchant, category, is_fraud_prediction AS expected_decision,
-          fraud_probability AS expected_probability
-   FROM cand WHERE is_fraud = 0 ORDER BY fraud_probability ASC, amt ASC, trans_num ASC LIMIT 1)
+  (SELECT 'routine' AS preset_id, * EXCLUDE (is_fraud) FROM form WHERE is_fraud = 0
+   ORDER BY expected_probability ASC, amount ASC, trans_num ASC LIMIT 1)
   UNION ALL
-  (SELECT 'suspicious', trans_num, amt, merchant, category, is_fraud_prediction, fraud_probability
-   FROM cand WHERE is_fraud = 1 ORDER BY fraud_probability DESC, amt DESC, trans_num ASC LIMIT 1)
+  (SELECT 'suspicious', * EXCLUDE (is_fraud) FROM form WHERE is_fraud = 1
+   ORDER BY expected_probability DESC, amount DESC, trans_num ASC LIMIT 1)
 )
 SELECT * FROM picked WHERE (SELECT count(*) FROM picked) = 2
 """
