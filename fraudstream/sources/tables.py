@@ -84,7 +84,10 @@ def spread(df: DataFrame, min_partitions: int | None = None, *, key: str | None
     if cache_key is not None and cache_key in _SPLITS:
         splits = _SPLITS[cache_key]
     else:
-        splits = df.rdd.getNumPartitions()
+        try:
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan as is
+            return df
         if cache_key is not None:
             _SPLITS[cache_key] = splits
     if splits < slots:
