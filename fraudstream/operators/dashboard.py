@@ -186,7 +186,13 @@ def recent_transactions(
         end = results.select(F.max(day_col)).scalar()
     else:
         end = F.lit(as_of).cast("date")
-    window = (F.col(day_col) > F.date_sub(end, days)) & (F.col(day_col) <= end)
+    start = F.date_sub(end, days)
+    window = (F.col(day_col) > start) & (F.col(day_col) <= end)
+    month_col = day_col.replace("_day", "_month")
+    if as_of is not None and month_col in results.columns:
+        # the table is folder-partitioned by month: bound the month too so whole
+        # folders are pruned (PartitionFilters), days are then skipped by row-group stats
+        window = window & (F.col(month_col) >= F.trunc(F.date_add(start, 1), "month")) & (F.col(month_col) <= end)
     return results.filter(window).orderBy(F.desc("inserted_at"), F.asc("trans_num")).limit(limit)
 
 
