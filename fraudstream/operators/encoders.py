@@ -33,15 +33,37 @@ def _long_values(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def fit_dictionary(train: DataFrame, columns: tuple[str, ...] = CATEGORICAL_COLUMNS) -> DataFrame:
     """Distinct values per column (partial aggregation per task), then codes.
 
-    The numbering window runs over the distinct vocabulary, not over rows.
+    Codes are a distributed rank: the vocabulary is range-partitioned on
+    (column, value) and written once (range bounds come from sampling, so the
+    partition ids must be fixed before they are reused); each range is ranked on
+    its own, and per-(range, column) counts give the offsets. No task ever holds
+    a whole column's vocabulary.
     """
     for c in columns:
         if c not in train.columns:
             raise ValueError(f"Training data is missing categorical column {c}")
+    import uuid
+
+    from ..session import shared_dir
+
+    spark = train.sparkSession
     vocab = _long_values(train, columns).distinct()
-    order = Window.partitionBy("column_name").orderBy("value")
-    return vocab.select(
-        "column_name", "value", (F.row_number().over(order) - 1).cast("int").alias("code")
+    path = shared_dir(spark, "vocabulary", uuid.uuid4().hex)
+    (
+        vocab.repartitionByRange("column_name", "value")
+        .withColumn("range_id", F.spark_partition_id())
+        .write.parquet(path)
+    )
+    ranged = spark.read.parquet(path)
+    counts = ranged.groupBy("range_id", "column_name").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("column_name").orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (range, column): bounded by shuffle partitions x columns
+    offsets = counts.select("range_id", "column_name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    local = Window.partitionBy("range_id", "column_name").orderBy("value")
+    return (
+        ranged.withColumn("local_rank", F.row_number().over(local))
+        .join(F.broadcast(offsets), ["range_id", "column_name"])
+        .select("column_name", "value", (F.col("offset") + F.col("local_rank") - 1).cast("int").alias("code"))
     )
 
 

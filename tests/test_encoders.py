@@ -61,3 +61,20 @@ def test_leaky_dictionary_sees_holdout_values(spark):
     train, hold = _frame(spark, ["a"]), _frame(spark, ["z"])
     leaky = encoders.leaky_dictionary(train, hold).filter("column_name = 'merchant'")
     assert leaky.count() == 2
+
+
+def test_codes_are_a_global_rank_across_ranges(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select(
+        F.concat(F.lit("m"), F.col("id").cast("string")).alias("merchant"),
+        (F.col("id") % 3).cast("string").alias("category"),
+        F.lit("F").alias("gender"),
+        F.concat(F.lit("j"), (F.col("id") % 777).cast("string")).alias("job"),
+    )
+    d = encoders.fit_dictionary(df)
+    for col, expected in (("merchant", sorted(f"m{i}" for i in range(5000))),
+                          ("job", sorted({f"j{i % 777}" for i in range(5000)}))):
+        got = [r.value for r in d.filter(F.col("column_name") == col).orderBy("code").collect()]
+        codes = [r.code for r in d.filter(F.col("column_name") == col).orderBy("code").collect()]
+        assert got == expected and codes == list(range(len(expected)))
