@@ -74,8 +74,7 @@ def q_leaky_dictionary(spark, sf_dir):
     "model_rows",
     ops=("P6", "P7", "S2"),
     sql=with_encoding(
-        "SELECT " + ", ".join(MODEL_COLUMNS) + " FROM encoded WHERE unix_time < 930787200 "
-        "AND supplier_key % 10 <> 0"
+        "SELECT " + ", ".join(MODEL_COLUMNS) + f" FROM encoded WHERE {fixture.TRAIN_PREDICATE_SQL}"
     ),
 )
 def q_model_rows(spark, sf_dir):

@@ -116,15 +116,14 @@ def q_recent_alerts(spark, sf_dir):
     return _out(dashboard.recent_transactions(alerts, days=7, limit=200))
 
 
-# Versions of the result rows: a second batch re-delivers the ids whose md5
-# starts with 0 or 1, re-scored by a newer rule version with threshold 0.45.
-_REDELIVER = ("0", "1")
+# Versions of the result rows: a second batch (a backfill) re-scores the whole
+# hold-out period with a newer rule version whose threshold is 0.45.
 
 
 def _versions(spark, sf_dir):
     rows = _result_rows_light(spark, sf_dir).withColumn("batch_id", F.lit(1).cast("long"))
     again = (
-        rows.filter(F.substring(F.md5("trans_num"), 1, 1).isin(*_REDELIVER))
+        rows.filter(fixture.is_holdout_row())
         .withColumn("batch_id", F.lit(2).cast("long"))
         .withColumn("model_version", F.lit("rule-v2"))
         .withColumn("is_fraud_prediction", (F.col("fraud_probability") >= 0.45).cast("int"))
@@ -143,7 +142,7 @@ versions AS (
   UNION ALL
   SELECT transaction_day, unix_time, trans_num, merchant, category, amt, is_fraud,
          CASE WHEN fraud_probability >= 0.45 THEN 1 ELSE 0 END, fraud_probability, 'rule-v2', CAST(2 AS BIGINT)
-  FROM res WHERE substr(md5(trans_num), 1, 1) IN ('0', '1')
+  FROM res WHERE unix_time >= 930787200
 )
 SELECT transaction_day, unix_time, trans_num, merchant, category, amt, is_fraud, is_fraud_prediction,
        fraud_probability, model_version, batch_id
@@ -375,7 +374,7 @@ _TRACE_SQL = """trace_rows AS (
   FROM events,
        (VALUES (1, 'API_ACCEPTED', 0), (2, 'KAFKA_PUBLISHED', 1), (3, 'MODEL_SCORED', 2), (4, 'CASSANDRA_PERSISTED', -1))
          s(stage_no, stage, off)
-  WHERE NOT (event_id % 10 = 0 AND stage = 'CASSANDRA_PERSISTED')
+  WHERE NOT (event_type = 'error' AND stage = 'CASSANDRA_PERSISTED')
 ),
 trace AS (
   SELECT trans_num, event_id, stage,

@@ -96,16 +96,16 @@ def stream_records(events: DataFrame) -> DataFrame:
     )
 
 
-# Fixed values of the trace fixture: stage offsets (seconds) and the share of
-# events still in flight (no final stage).
+# Fixed values of the trace fixture: stage offsets (seconds) and the event type
+# whose transactions stall before the final stage (still in flight).
 TRACE_OFFSETS = (0, 1, 2)
-IN_FLIGHT_EVERY = 10
+IN_FLIGHT_TYPE = "error"
 
 
 def trace_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four stage rows per ``events`` row at ts + 0, 1, 2 and 2 + (event_id % 5) s.
 
-    Events with ``event_id % 10 == 0`` lack the final stage (still processing).
+    Events of type ``error`` lack the final stage (still processing).
     ``fraud_probability`` = least(value / 100, 1) with a 0.5 decision threshold,
     carried by the two scoring stages only.
     """
@@ -138,7 +138,7 @@ def trace_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("category"),
         F.inline(F.array(*stages)),
     )
-    rows = rows.filter(~((F.col("event_id") % IN_FLIGHT_EVERY == 0) & (F.col("stage") == TRACE_STAGES[-1])))
+    rows = rows.filter(~((F.col("category") == IN_FLIGHT_TYPE) & (F.col("stage") == TRACE_STAGES[-1])))
     return rows.select(
         "trans_num",
         "occurred_at",

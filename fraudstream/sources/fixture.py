@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.time import epoch_of
 from .tables import read_table
 
-# Fixed values of the fixture: train/hold-out boundary and the merchants that
-# only appear after it (they exercise the unknown code -1).
+# Fixed values of the fixture: train/hold-out boundary, and the supplier region
+# whose merchants join the network only after it (they exercise the unknown code -1).
 SPLIT_UNIX_TIME = 930787200  # 1999-07-01T00:00:00Z
-NEW_MERCHANT_EVERY = 10  # suppliers with s_suppkey % 10 == 0 are absent from training
+NEW_MERCHANT_REGION = 4
 FRAUD_AMOUNT_LIMIT = 60000.0
 
 TRANSACTION_COLUMNS = (
@@ -43,6 +43,7 @@ TRANSACTION_COLUMNS = (
     "schema_version",
     "supplier_key",
     "order_key",
+    "supplier_region",
 )
 
 
@@ -86,6 +87,7 @@ def _fixture_columns() -> list[Column]:
         F.lit(1).alias("schema_version"),
         F.col("l_suppkey").alias("supplier_key"),
         F.col("l_orderkey").alias("order_key"),
+        F.col("n_regionkey").alias("supplier_region"),
     ]
 
 
@@ -96,20 +98,22 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    su = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    su = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    na = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     pa = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
     joined = (
         li.join(od, li.l_orderkey == od.o_orderkey)
         .join(cu, od.o_custkey == cu.c_custkey)
         .join(su, li.l_suppkey == su.s_suppkey)
         .join(pa, li.l_partkey == pa.p_partkey)
+        .join(na, su.s_nationkey == na.n_nationkey)
     )
     return joined.select(*_fixture_columns())
 
 
 def is_training_row() -> Column:
-    """Earlier period and not one of the merchants that joined after it."""
-    return (F.col("unix_time") < SPLIT_UNIX_TIME) & (F.col("supplier_key") % NEW_MERCHANT_EVERY != 0)
+    """Earlier period, without the merchants of the region that joined after it."""
+    return (F.col("unix_time") < SPLIT_UNIX_TIME) & (F.col("supplier_region") != NEW_MERCHANT_REGION)
 
 
 def is_holdout_row() -> Column:
@@ -149,14 +153,14 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)
                  THEN 1 ELSE 0 END AS INTEGER) AS is_fraud,
        1 AS schema_version,
        l_suppkey AS supplier_key,
-       l_orderkey AS order_key
+       l_orderkey AS order_key,
+       n_regionkey AS supplier_region
 FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey
 JOIN supplier ON l_suppkey = s_suppkey
 JOIN part ON l_partkey = p_partkey
+JOIN nation ON s_nationkey = n_nationkey
 """
-TRAIN_PREDICATE_SQL = (
-    f"unix_time < {SPLIT_UNIX_TIME} AND supplier_key % {NEW_MERCHANT_EVERY} <> 0"
-)
+TRAIN_PREDICATE_SQL = f"unix_time < {SPLIT_UNIX_TIME} AND supplier_region <> {NEW_MERCHANT_REGION}"
 HOLDOUT_PREDICATE_SQL = f"unix_time >= {SPLIT_UNIX_TIME}"
