@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 
 from .geo import great_circle_miles
 
-# Signal limits of the decision panel.
+# Signal limits and texts of the decision panel.
 HIGH_AMOUNT = 500.0
 FAR_MILES = 100.0
 RISKY_PROBABILITY = 0.5
+LABEL_AMOUNT = "Transaction amount"
+LABEL_DISTANCE = "Location distance"
+LABEL_SCORE = "Model score"
+TEXT_HIGH_AMOUNT = " is a high value payment"
+TEXT_LOW_AMOUNT = " is below the high value demo threshold"
+FORMAT_DISTANCE = "%.1f miles between customer and merchant"
+FORMAT_SCORE = "%.1f%% estimated fraud probability"
 
 # Fixed values of the rule score (percent points): base, amount flag, distance flag.
 RULE_BASE = 20
@@ -73,20 +80,20 @@ def decision_signals(
     money = F.format_string("$%.2f", amt)
     return F.array(
         F.struct(
-            F.lit("Transaction amount").alias("label"),
-            F.when(amt >= high_amount, F.concat(money, F.lit(" is a high value payment")))
-            .otherwise(F.concat(money, F.lit(" is below the high value demo threshold")))
+            F.lit(LABEL_AMOUNT).alias("label"),
+            F.when(amt >= high_amount, F.concat(money, F.lit(TEXT_HIGH_AMOUNT)))
+            .otherwise(F.concat(money, F.lit(TEXT_LOW_AMOUNT)))
             .alias("detail"),
             (amt >= high_amount).alias("risk"),
         ),
         F.struct(
-            F.lit("Location distance").alias("label"),
-            F.format_string("%.1f miles between customer and merchant", miles).alias("detail"),
+            F.lit(LABEL_DISTANCE).alias("label"),
+            F.format_string(FORMAT_DISTANCE, miles).alias("detail"),
             (miles >= FAR_MILES).alias("risk"),
         ),
         F.struct(
-            F.lit("Model score").alias("label"),
-            F.format_string("%.1f%% estimated fraud probability", p * 100).alias("detail"),
+            F.lit(LABEL_SCORE).alias("label"),
+            F.format_string(FORMAT_SCORE, p * 100).alias("detail"),
             (p >= RISKY_PROBABILITY).alias("risk"),
         ),
     )
