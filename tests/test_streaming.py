@@ -71,3 +71,15 @@ def test_windowed_rollup_and_dedup(spark, workdir):
         "checkpointLocation", f"{workdir}/dd-ck").trigger(availableNow=True).start()
     q2.awaitTermination()
     assert spark.read.parquet(f"{workdir}/dd").count() == 9
+
+
+def test_pacing_one_file_per_trigger(spark, workdir):
+    src = f"{workdir}/in"
+    for part in range(3):
+        _records(spark, part * 10, 10).coalesce(1).write.mode("append").json(src)
+    q = job.start(job.file_source(spark, src, max_files_per_trigger=1), out_dir=f"{workdir}/out",
+                  checkpoint=f"{workdir}/ck", available_now=True)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{workdir}/out/transactions_by_day")
+    assert out.count() == 30
+    assert out.select("batch_id").distinct().count() == 3
