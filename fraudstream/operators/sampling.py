@@ -194,6 +194,8 @@ def exact_quantile_disc(df: DataFrame, column: str, q: float, *, buckets: int =
                 lo, hi = lo + row["b"] * width, min(hi, lo + row["b"] * width + width - 1)
                 break
             below += row["c"]
+        else:  # the input changed between passes
+            raise RuntimeError(f"rank {rank} not found in the histogram of {column}")
     return int(lo)
 
 
