@@ -83,3 +83,14 @@ def test_pacing_one_file_per_trigger(spark, workdir):
     out = spark.read.parquet(f"{workdir}/out/transactions_by_day")
     assert out.count() == 30
     assert out.select("batch_id").distinct().count() == 3
+
+
+def test_copies_inside_a_batch_are_folded(spark, workdir):
+    base = _records(spark, 0, 5)
+    copies = base.filter("key = 't-0'")
+    for _ in range(5):
+        copies = copies.unionByName(copies)
+    job.write_batch(base.unionByName(copies), 3, out_dir=f"{workdir}/out", scorer=job.rule_scorer(),
+                    model_version="rule-v1")
+    out = spark.read.parquet(f"{workdir}/out/transactions_by_day")
+    assert out.count() == 5 and out.filter("trans_num = 't-0'").count() == 1
