@@ -71,7 +71,31 @@ def q_ml_presets(spark, sf_dir):
     return dashboard.extreme_rows(ml_scored_frame(spark, sf_dir))
 
 
-@query("ml_label_indexing", ops=("M2", "M3"))
+def _indexing_sql() -> str:
+    """StringIndexer (frequency desc, ties by label text, unseen -> n) and one-hot width n + 2."""
+    from ..sources.fixture import HOLDOUT_PREDICATE_SQL, TRAIN_PREDICATE_SQL
+    from .oracle import with_encoding
+
+    ctes, cols, joins = [], [], []
+    for i, c in enumerate(LABEL_COLUMNS):
+        ctes.append(
+            f"idx{i} AS (SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) - 1 AS i "
+            f"FROM encoded WHERE {TRAIN_PREDICATE_SQL} GROUP BY {c}),\n"
+            f"n{i} AS (SELECT count(*) AS n FROM idx{i})"
+        )
+        cols.append(f"CAST(coalesce(x{i}.i, (SELECT n FROM n{i})) AS INTEGER) AS {c}_index")
+        cols.append(f"CAST((SELECT n FROM n{i}) + 2 AS INTEGER) AS {c}_width")
+        joins.append(f"LEFT JOIN idx{i} x{i} ON e.{c} = x{i}.v")
+    body = (
+        ",\n".join(ctes)
+        + "\nSELECT e.trans_num, " + ", ".join(cols)
+        + "\nFROM encoded e " + " ".join(joins)
+        + f"\nWHERE {HOLDOUT_PREDICATE_SQL}"
+    )
+    return with_encoding(body)
+
+
+@query("ml_label_indexing", ops=("M2", "M3"), sql=_indexing_sql())
 def q_ml_label_indexing(spark, sf_dir):
     """Index/one-hot widths: labels seen in training + the unseen bucket."""
     fitted, _ = trained(spark, sf_dir)
