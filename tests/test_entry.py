@@ -49,3 +49,16 @@ def test_no_python_udfs_and_pruned_scans(spark):
 def test_holdout_filter_reaches_scan(spark):
     plan = _plan(entry.queries()["holdout_totals"](spark, SF))
     assert "PushedFilters" in plan
+
+
+ROWS_ONLY = {
+    "ml_scored", "ml_metrics", "ml_auc", "ml_threshold_sweep", "ml_holdout_totals", "ml_category_risk",
+    "ml_presets", "ml_baseline_accuracy", "snapshot_export", "transaction_shards",
+}
+
+
+def test_rows_only_queries_are_the_documented_ones():
+    q, s = entry.queries(), entry.oracle_sql()
+    assert set(q) - set(s) == ROWS_ONLY
+    for name, sql in s.items():
+        assert sql.strip().upper().startswith(("WITH", "SELECT")), name
