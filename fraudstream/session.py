@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,17 +46,32 @@ def get_session(
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A folder under the cluster's shared ``spark.checkpoint.dir``.
+    """A folder on storage that the driver and every executor reach.
 
-    The cluster names that folder; it is only set here when the session has
-    none (local tests), so lineage cuts and stream checkpoints always land
-    on storage every executor can reach.
+    It is the session's ``spark.checkpoint.dir``; where only
+    ``SparkContext.setCheckpointDir`` was called, the context's folder. A local
+    session with neither (tests) gets a temporary folder; a cluster without one
+    is an error, because a machine-local folder would lose data there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="fraudstream-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts]) if parts else base
+
+
+def run_dir(spark: SparkSession, kind: str) -> str:
+    """A fresh folder under :func:`shared_dir`, deleted when the session's JVM ends.
+
+    For intermediate tables of one run: their readers are lazy frames of this
+    session, so they can not be deleted earlier.
+    """
+    path = shared_dir(spark, kind, uuid.uuid4().hex)
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
