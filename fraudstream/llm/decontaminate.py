@@ -1,0 +1,395 @@
+"""Benchmark decontamination by latent semantic retrieval.
+
+Texts are cut into passages whose words, hashed to ``DIMENSIONS`` columns, are weighted
+by TF-IDF. A randomised SVD over all passages gives the latent space: with A the
+passages and W a seeded Gaussian matrix, tasks sum Z = A'AW and C = (AW)'(AW) in one
+pass, and the right singular vectors of A follow from Z and C alone (Nystrom). Vectors
+are folded in as usual, divided by the singular values.
+
+Benchmark items are the queries. Against every text they meet windows of blocks of 8
+words, wide enough to hold the item wherever it begins; those at a cosine of ``COSINE``
+or more are candidates. Candidates that share too few words to pass are dropped by
+counting, the others are checked by the longest common subsequence of the item's words
+and the text around the window: it must hold 0.8 of the item, or 0.6 of it and 0.8 of
+the item's answer (a column of the benchmark, or else its last sentence).
+
+The latent space is fitted on all passages; its sums' size is fixed by the number of
+columns and dimensions. The benchmark goes through in blocks of ``BLOCK_ITEMS``.
+
+Defined results: words are letters and digits, lower-cased; null or wordless texts and
+items match nothing; rows are judged one by one, so repeated rows and ids, and rows
+without an id, get their own verdict; of equal matches of an item one is reported; an
+empty table of documents or items gives no match. Texts are searched whole.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import builders, fold_blocks, plain
+
+#: Hashed columns, latent dimensions, and further ones of the sketch.
+DIMENSIONS, RANK, OVERSAMPLE = 16384, 64, 8
+#: Words of a passage that is fitted, and of a block that is searched.
+PASSAGE, BLOCK = 128, 8
+COSINE = 0.5
+#: Shares of the item that must be found: alone, or with this share of its answer.
+LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
+BLOCK_ITEMS = 2000
+_WORD = re.compile(r"\w+")
+_CHUNK = 1 << 14
+
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+class Columns(dict):
+    """The hashed column of each word, kept for the words of a batch."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> int:
+        column = self[word] = xxhash.xxh3_64_intdigest(word.encode()) % self.dimensions
+        return column
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def answer_of(text: str) -> list[str]:
+    """The words of the last sentence that has three words or more; all words without one."""
+    for sentence in reversed(re.split(r"(?<=[.!?])\s+", text)):
+        found = words_of(sentence)
+        if len(found) >= 3:
+            return found
+    return words_of(text)
+
+
+@dataclass
+class Latent:
+    """A fitted latent space: ``project`` folds weighted columns in (one row a column)."""
+
+    project: np.ndarray
+    sigma: np.ndarray
+
+
+def _passages(cols: list[np.ndarray], passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """All columns of a batch, and the passage of each."""
+    flat = np.concatenate(cols) if cols else np.empty(0, np.int64)
+    sizes = np.array([len(c) for c in cols], np.int64)
+    counts = -(-sizes // passage)
+    first = np.cumsum(counts) - counts
+    inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return flat, np.repeat(first, sizes) + inside // passage
+
+
+def _emit(block: int, payload: np.ndarray) -> pa.RecordBatch:
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([payload.tobytes()], pa.binary())],
+        ["block", "part", "payload"],
+    )
+
+
+_PARTS = "block int, part int, payload binary"
+
+
+def document_frequencies(texts: DataFrame, *, dimensions: int, passage: int) -> tuple[np.ndarray, int]:
+    """In how many passages each column occurs, and how many there are; texts has (text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(dimensions + 1, np.int64)
+        for batch in batches:
+            columns = Columns(dimensions)
+            flat, where = _passages([columns.of(words_of(t)) for t in batch.column(0).to_pylist()], passage)
+            if len(flat):
+                pairs = np.unique(where * dimensions + flat)
+                counts[:-1] += np.bincount(pairs % dimensions, minlength=dimensions)
+                counts[-1] += where[-1] + 1
+        yield _emit(0, counts)
+
+    parts = texts.coalesce(builders(texts.sparkSession)).mapInArrow(run, _PARTS)
+    total = fold_blocks(parts, np.add, "int64", "lsi-frequencies").get(0, np.zeros(dimensions + 1, np.int64))
+    return total[:-1], int(total[-1])
+
+
+def _sketch(texts: DataFrame, idf: np.ndarray, *, passage: int, width: int, seed: int):
+    """Z = A'AW and C = (AW)'(AW) over all passages."""
+    dimensions = len(idf)
+    weights = texts.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+    rows = 256  # columns in a block of Z
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = weights.value
+        gauss = np.random.default_rng(seed).standard_normal((dimensions, width), np.float32)
+        z = np.zeros((dimensions, width), np.float64)
+        c = np.zeros((width, width), np.float64)
+        place = np.zeros(dimensions, np.int64)
+        for batch in batches:
+            columns = Columns(dimensions)
+            flat, where = _passages([columns.of(words_of(t)) for t in batch.column(0).to_pylist()], passage)
+            # Some whole passages at a time, dense over the columns that occur in them.
+            n = int(where[-1]) + 1 if len(where) else 0
+            for first in range(0, n, 64):
+                lo, hi = np.searchsorted(where, [first, first + 64])
+                cols, at = flat[lo:hi], where[lo:hi] - first
+                used = np.unique(cols)
+                place[used] = np.arange(len(used))
+                cells = at * len(used) + place[cols]
+                a = np.bincount(cells, minlength=64 * len(used)).astype(np.float32).reshape(64, len(used)) * idf[used]
+                norms = np.sqrt((a * a).sum(axis=1, keepdims=True))
+                a /= np.where(norms > 0, norms, 1)
+                y = a @ gauss[used]
+                z[used] += a.T @ y
+                c += y.T @ y
+        for i in range(0, dimensions, rows):
+            yield _emit(i // rows, z[i : i + rows])
+        yield _emit(-1, c)
+
+    parts = texts.coalesce(builders(texts.sparkSession)).mapInArrow(run, _PARTS)
+    found = fold_blocks(parts, np.add, "float64", "lsi-sketch")
+    z = np.concatenate([found[i // rows].reshape(-1, width) for i in range(0, dimensions, rows)])
+    return z, found[-1].reshape(width, width)
+
+
+def fit(
+    texts: DataFrame,
+    *,
+    dimensions: int = DIMENSIONS,
+    rank: int = RANK,
+    oversample: int = OVERSAMPLE,
+    passage: int = PASSAGE,
+    seed: int = 11,
+) -> Latent | None:
+    """The latent space of all passages of ``texts`` (text); None if there are none."""
+    frequency, n = document_frequencies(texts, dimensions=dimensions, passage=passage)
+    if not n:
+        return None
+    idf = np.log((n + 1) / (frequency + 1)) + 1e-6
+    z, c = _sketch(texts, idf, passage=passage, width=rank + oversample, seed=seed)
+    values, vectors = np.linalg.eigh(c)
+    good = values > values[-1] * 1e-9
+    # The sketch's Nystrom factor: its left singular vectors are A's right ones.
+    right, sigma, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    strong = (sigma > sigma[0] * 1e-3)[:rank].nonzero()[0]
+    project = right[:, strong] / sigma[strong] * idf[:, None]
+    return Latent(project.astype(np.float32), sigma[strong])
+
+
+@dataclass
+class Item:
+    """A benchmark item: its words, its answer's, and the masks for common subsequences."""
+
+    id: object
+    words: list[str]
+    answer: list[str]
+
+    def __post_init__(self):
+        self.masks, self.answer_masks = _masks(self.words), _masks(self.answer)
+
+
+def _masks(words: list[str]) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for i, word in enumerate(words):
+        masks[word] = masks.get(word, 0) | 1 << i
+    return masks
+
+
+def common_subsequence(masks: dict[str, int], n: int, words: list[str]) -> int:
+    """Length of the longest common subsequence of ``n`` masked words and ``words``, by bit rows."""
+    full = (1 << n) - 1
+    row = full
+    for mask in map(masks.get, words):
+        if mask:
+            hit = row & mask
+            row = ((row + hit) | (row - hit)) & full
+    return n - row.bit_count()
+
+
+def wide_blocks(n: int) -> int:
+    """Blocks that hold ``n`` words wherever they begin, from a coarse ladder."""
+    need = 1 + -(-max(n - 1, 0) // BLOCK)
+    step = max(1, 1 << max(0, need.bit_length() - 3))
+    return -(-need // step) * step
+
+
+class Searcher:
+    """Finds a block of items in texts."""
+
+    def __init__(self, items: list[Item], project: np.ndarray, cosine: float):
+        self.cosine = cosine
+        self.dimensions = len(project)
+        self.project = np.vstack([project, np.zeros((1, project.shape[1]), np.float32)])
+        columns = Columns(self.dimensions)
+        groups: dict[int, list[Item]] = {}
+        for item in items:
+            if item.words:
+                groups.setdefault(wide_blocks(len(item.words)), []).append(item)
+        self.groups = []
+        for wide, own in sorted(groups.items()):
+            cols = [columns.of(i.words) for i in own]
+            vectors = np.stack([self.project[c].sum(axis=0) for c in cols])
+            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+            holds = np.zeros((len(own), self.dimensions + 1), bool)
+            for row, c in zip(holds, cols):
+                row[c] = True
+            least = np.array([len(i.words) for i in own]) * (LCS_WITH_ANSWER - 0.1)
+            self.groups.append((wide, own, (vectors / np.where(norms > 0, norms, 1)).T, holds, least))
+        self.pad = max((g[0] for g in self.groups), default=1)
+
+    def search(self, texts: list[str | None]) -> list[list[tuple[int, float, float]]]:
+        """For each text its matches: item id, and the shares of item and answer found."""
+        words = [words_of(t) for t in texts]
+        out: list[list] = [[] for _ in texts]
+        if not self.groups:
+            return out
+        columns = Columns(self.dimensions)
+        # Each text fills whole blocks, then empty ones, so that no window reaches the next text.
+        sizes = np.array([(-(-len(w) // BLOCK) + self.pad) * BLOCK for w in words], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.full(int(sizes.sum()) if len(sizes) else 0, self.dimensions, np.int64)
+        for start, w in zip(starts, words):
+            flat[start : start + len(w)] = columns.of(w)
+        blocks = np.empty((len(flat) // BLOCK, self.project.shape[1]), np.float32)
+        for i in range(0, len(blocks), _CHUNK // BLOCK):
+            part = flat[i * BLOCK : i * BLOCK + _CHUNK]
+            blocks[i : i + len(part) // BLOCK] = self.project[part].reshape(-1, BLOCK, blocks.shape[1]).sum(axis=1)
+        text_of_block = np.repeat(np.arange(len(texts)), sizes // BLOCK)
+        for wide, items, vectors, holds, least in self.groups:
+            found: dict[tuple[int, int], list[int]] = {}
+            for i in range(0, len(blocks) - wide + 1, _CHUNK // BLOCK):
+                n = min(_CHUNK // BLOCK, len(blocks) - wide + 1 - i)
+                window = blocks[i : i + n].copy()
+                for k in range(1, wide):
+                    window += blocks[i + k : i + k + n]
+                norms = np.sqrt(np.einsum("ij,ij->i", window, window))
+                near = window @ vectors >= (self.cosine * np.maximum(norms, 1e-20))[:, None]
+                near[norms == 0] = False
+                at, item = near.nonzero()
+                at += i
+                for j in range(0, len(at), _CHUNK):
+                    a, t = at[j : j + _CHUNK], item[j : j + _CHUNK]
+                    shared = holds[t[:, None], flat[a[:, None] * BLOCK + np.arange(wide * BLOCK)]].sum(axis=1)
+                    for b, k in zip(a[shared >= least[t]].tolist(), t[shared >= least[t]].tolist()):
+                        found.setdefault((int(text_of_block[b]), k), []).append(b)
+            for (text, k), at in found.items():
+                match = self._check(items[k], words[text], [b * BLOCK - int(starts[text]) for b in at], wide * BLOCK)
+                if match:
+                    out[text].append(match)
+        return out
+
+    @staticmethod
+    def _check(item: Item, words: list[str], starts: list[int], width: int) -> tuple | None:
+        """The best match around windows that begin at ``starts``."""
+        best = None
+        n, m = len(item.words), len(item.answer)
+        for start in starts:
+            near = words[max(0, start - BLOCK) : start + width + BLOCK]
+            share = common_subsequence(item.masks, n, near) / n
+            if share < LCS_WITH_ANSWER:
+                continue
+            answer = common_subsequence(item.answer_masks, m, near) / m
+            if (share >= LCS or answer >= ANSWER) and (best is None or (share, answer) > best[1:]):
+                best = (item.id, share, answer)
+        return best
+
+
+_workers: dict[int, Searcher] = {}
+
+
+def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> Iterator[list[tuple]]:
+    """The items, (id, words, answer words), in blocks of a fixed number."""
+    answer = plain(answer_col) if answer_col else F.lit(None).cast("string")
+    rows = benchmark.select(plain(id_col).alias("id"), plain(text_col).alias("text"), answer.alias("answer"))
+    block = []
+    for r in rows.filter("id is not null and text is not null").distinct().orderBy("id", "text").toLocalIterator():
+        if words := words_of(r.text):
+            block.append((r.id, words, words_of(r.answer) or answer_of(r.text)))
+            if len(block) == BLOCK_ITEMS:
+                yield block
+                block = []
+    if block:
+        yield block
+
+
+def flag_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    answer_col: str | None = None,
+    cosine: float = COSINE,
+    latent: Latent | None = None,
+) -> DataFrame:
+    """(row struct, leaks array of (item, lcs, answer)) of each row of ``docs``.
+
+    ``latent`` is fitted on the texts of ``docs`` where none is given.
+    """
+    spark = docs.sparkSession
+    latent = latent or fit(docs.select(F.coalesce(plain(text_col), F.lit("")).alias("text")))
+    item_type = benchmark.schema[item_id_col].dataType.simpleString()
+    leak_type = f"array<struct<item:{item_type},lcs:double,answer:double>>"
+    row = F.struct(*[plain(c) for c in docs.columns]).alias("row")
+    flagged = docs.select(row, plain(text_col).alias("text"), F.array().cast(leak_type).alias("leaks"))
+    if latent is None:
+        return flagged.select("row", "leaks")
+    project = spark.sparkContext.broadcast(latent.project)
+    row_type = flagged.schema["row"].dataType.simpleString()
+    for block in _benchmark_blocks(benchmark, item_id_col, item_text_col, answer_col):
+        items = spark.sparkContext.broadcast(block)
+        flagged = flagged.mapInArrow(
+            _search(project, items, cosine), f"row {row_type}, text string, leaks {leak_type}"
+        )
+    return flagged.select("row", "leaks")
+
+
+def _search(project, items, cosine: float):
+    """mapInArrow function that adds the matches of one block of items."""
+    key = items.id if hasattr(items, "id") else id(items)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _workers:
+            _workers.clear()
+            _workers[key] = Searcher([Item(*i) for i in items.value], project.value, cosine)
+        searcher = _workers[key]
+        for batch in batches:
+            before = batch.column("leaks")
+            found = searcher.search(batch.column("text").to_pylist())
+            leaks = [
+                old + [{"item": i, "lcs": s, "answer": a} for i, s, a in new]
+                for old, new in zip(before.to_pylist(), found)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("text"), pa.array(leaks, before.type)], ["row", "text", "leaks"]
+            )
+
+    return run
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """(id, item_id, lcs, answer): the best match of each item in each document that holds it."""
+    flagged = flag_leaks(docs.select(plain(id_col), plain(text_col)), benchmark, text_col=text_col, **params)
+    each = flagged.select(F.col("row").getField(id_col).alias(id_col), F.explode("leaks").alias("leak"))
+    best = F.max(F.struct("leak.lcs", "leak.answer"))
+    return each.groupBy(plain(id_col), F.col("leak.item").alias("item_id")).agg(best.alias("best")).select(
+        plain(id_col), "item_id", F.round("best.lcs", 4).alias("lcs"), F.round("best.answer", 4).alias("answer")
+    )
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with their own columns."""
+    return flag_leaks(docs, benchmark, **params).filter(F.size("leaks") == 0).select("row.*")

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, quality, sharding, simhash, token_counts
+from . import (
+    byte_bpe,
+    decontaminate,
+    html_text,
+    line_dedup,
+    quality,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_counts,
+    warc,
+)
 from .common import ARROW_CONF
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +80,25 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '')"
 
 SQL: dict[str, str] = {
@@ -120,6 +150,36 @@ WITH lines AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op7_warc": """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages
+), keepers AS (
+  SELECT html, max(page_id) AS keeper FROM payloads WHERE n >= 1000 GROUP BY html
+)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN p.page_id < k.keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < k.keeper THEN k.keeper END AS refers_to
+FROM payloads p LEFT JOIN keepers k ON p.html = k.html AND p.n >= 1000""",
+    "op8_substring_dedup": rf"""
+WITH split AS (
+  SELECT doc_id, {_WORDS} AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS w
+  FROM split, unnest(range(1, len(words) - 33)) AS r(i)
+), repeats AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM repeats, unnest(range(35)) AS u(k)
+), words AS (
+  SELECT s.doc_id, u.i, u.word FROM split s,
+         LATERAL (SELECT unnest(s.words) AS word, unnest(range(1, len(s.words) + 1)) AS i) AS u
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS kept, count(*) AS n
+  FROM words w ANTI JOIN covered c ON w.doc_id = c.doc_id AND w.i = c.i GROUP BY w.doc_id
+)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)""",
 }
 
 
