@@ -20,7 +20,7 @@ from . import (
     token_counts,
     warc,
 )
-from .common import ARROW_CONF
+from .common import ARROW_CONF, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Batch sizes of the Python workers, for sessions that run these queries."""
+    """Batch sizes of the Python workers, and their code, for sessions that run these queries."""
+    ship(spark)
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
 
