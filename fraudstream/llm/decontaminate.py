@@ -16,7 +16,8 @@ the item's answer (a column of the benchmark, or else its last sentence).
 The latent space is fitted on all passages; its sums' size is fixed by the number of
 columns and dimensions. The benchmark goes through in blocks of ``BLOCK_ITEMS``.
 
-Defined results: words are letters and digits, lower-cased; null or wordless texts and
+Defined results: words are runs of ASCII letters and digits and of any other characters
+beyond ASCII, lower-cased; null or wordless texts and
 items match nothing; rows are judged one by one, so repeated rows and ids, and rows
 without an id, get their own verdict; of equal matches of an item one is reported; an
 empty table of documents or items gives no match. Texts are searched whole.
@@ -45,30 +46,44 @@ COSINE = 0.5
 #: Shares of the item that must be found: alone, or with this share of its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 BLOCK_ITEMS = 2000
-_WORD = re.compile(r"\w+")
 _CHUNK = 1 << 14
+#: Passages that are counted at a time, dense over the columns that occur in them.
+_ROWS = 24
+#: ASCII characters that are no letters or digits, as spaces.
+_SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Words whose column a worker keeps, dropped when full.
+_KNOWN = 500_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode().translate(_SPACED).split() if text else []
 
 
 class Columns(dict):
-    """The hashed column of each word, kept for the words of a batch."""
+    """The hashed column of each word that a worker has met."""
 
     def __init__(self, dimensions: int):
         super().__init__()
         self.dimensions = dimensions
 
-    def __missing__(self, word: str) -> int:
-        column = self[word] = xxhash.xxh3_64_intdigest(word.encode()) % self.dimensions
+    def __missing__(self, word: bytes) -> int:
+        column = self[word] = xxhash.xxh3_64_intdigest(word) % self.dimensions
         return column
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > _KNOWN:
+            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def answer_of(text: str) -> list[str]:
+_columns: dict[int, Columns] = {}
+
+
+def _worker_columns(dimensions: int) -> Columns:
+    return _columns.setdefault(dimensions, Columns(dimensions))
+
+
+def answer_of(text: str) -> list[bytes]:
     """The words of the last sentence that has three words or more; all words without one."""
     for sentence in reversed(re.split(r"(?<=[.!?])\s+", text)):
         found = words_of(sentence)
@@ -85,14 +100,24 @@ class Latent:
     sigma: np.ndarray
 
 
-def _passages(cols: list[np.ndarray], passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """All columns of a batch, and the passage of each."""
+def _passages(texts: list[str | None], columns: Columns, passage: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some whole passages at a time: the columns that occur, and how often in each passage."""
+    cols = [columns.of(words_of(t)) for t in texts]
     flat = np.concatenate(cols) if cols else np.empty(0, np.int64)
     sizes = np.array([len(c) for c in cols], np.int64)
     counts = -(-sizes // passage)
-    first = np.cumsum(counts) - counts
     inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return flat, np.repeat(first, sizes) + inside // passage
+    where = np.repeat(np.cumsum(counts) - counts, sizes) + inside // passage
+    place = np.zeros(columns.dimensions, np.int64)
+    for first in range(0, int(counts.sum()) if len(flat) else 0, _ROWS):
+        lo, hi = np.searchsorted(where, [first, first + _ROWS])
+        place[:] = 0
+        place[flat[lo:hi]] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        rows = int(where[hi - 1]) - first + 1
+        cells = (where[lo:hi] - first) * len(used) + place[flat[lo:hi]]
+        yield used, np.bincount(cells, minlength=rows * len(used)).reshape(rows, len(used))
 
 
 def _emit(block: int, payload: np.ndarray) -> pa.RecordBatch:
@@ -112,12 +137,9 @@ def document_frequencies(texts: DataFrame, *, dimensions: int, passage: int) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(dimensions + 1, np.int64)
         for batch in batches:
-            columns = Columns(dimensions)
-            flat, where = _passages([columns.of(words_of(t)) for t in batch.column(0).to_pylist()], passage)
-            if len(flat):
-                pairs = np.unique(where * dimensions + flat)
-                counts[:-1] += np.bincount(pairs % dimensions, minlength=dimensions)
-                counts[-1] += where[-1] + 1
+            for used, a in _passages(batch.column(0).to_pylist(), _worker_columns(dimensions), passage):
+                counts[used] += (a > 0).sum(axis=0)
+                counts[-1] += len(a)
         yield _emit(0, counts)
 
     parts = texts.coalesce(builders(texts.sparkSession)).mapInArrow(run, _PARTS)
@@ -136,19 +158,9 @@ def _sketch(texts: DataFrame, idf: np.ndarray, *, passage: int, width: int, seed
         gauss = np.random.default_rng(seed).standard_normal((dimensions, width), np.float32)
         z = np.zeros((dimensions, width), np.float64)
         c = np.zeros((width, width), np.float64)
-        place = np.zeros(dimensions, np.int64)
         for batch in batches:
-            columns = Columns(dimensions)
-            flat, where = _passages([columns.of(words_of(t)) for t in batch.column(0).to_pylist()], passage)
-            # Some whole passages at a time, dense over the columns that occur in them.
-            n = int(where[-1]) + 1 if len(where) else 0
-            for first in range(0, n, 64):
-                lo, hi = np.searchsorted(where, [first, first + 64])
-                cols, at = flat[lo:hi], where[lo:hi] - first
-                used = np.unique(cols)
-                place[used] = np.arange(len(used))
-                cells = at * len(used) + place[cols]
-                a = np.bincount(cells, minlength=64 * len(used)).astype(np.float32).reshape(64, len(used)) * idf[used]
+            for used, a in _passages(batch.column(0).to_pylist(), _worker_columns(dimensions), passage):
+                a = a.astype(np.float32) * idf[used]
                 norms = np.sqrt((a * a).sum(axis=1, keepdims=True))
                 a /= np.where(norms > 0, norms, 1)
                 y = a @ gauss[used]
@@ -193,21 +205,21 @@ class Item:
     """A benchmark item: its words, its answer's, and the masks for common subsequences."""
 
     id: object
-    words: list[str]
-    answer: list[str]
+    words: list[bytes]
+    answer: list[bytes]
 
     def __post_init__(self):
         self.masks, self.answer_masks = _masks(self.words), _masks(self.answer)
 
 
-def _masks(words: list[str]) -> dict[str, int]:
-    masks: dict[str, int] = {}
+def _masks(words: list[bytes]) -> dict[bytes, int]:
+    masks: dict[bytes, int] = {}
     for i, word in enumerate(words):
         masks[word] = masks.get(word, 0) | 1 << i
     return masks
 
 
-def common_subsequence(masks: dict[str, int], n: int, words: list[str]) -> int:
+def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
     """Length of the longest common subsequence of ``n`` masked words and ``words``, by bit rows."""
     full = (1 << n) - 1
     row = full
@@ -219,10 +231,25 @@ def common_subsequence(masks: dict[str, int], n: int, words: list[str]) -> int:
 
 
 def wide_blocks(n: int) -> int:
-    """Blocks that hold ``n`` words wherever they begin, from a coarse ladder."""
+    """Blocks that hold ``n`` words wherever they begin: a power of two, or one and a half."""
     need = 1 + -(-max(n - 1, 0) // BLOCK)
-    step = max(1, 1 << max(0, need.bit_length() - 3))
-    return -(-need // step) * step
+    power = 1 << (need - 1).bit_length()
+    return power * 3 // 4 if need <= power * 3 // 4 and power >= 4 else power
+
+
+class Windows:
+    """Sums of neighbouring blocks, from sums of half as many."""
+
+    def __init__(self, blocks: np.ndarray):
+        self.sums = {1: blocks}
+
+    def of(self, wide: int) -> np.ndarray:
+        if wide not in self.sums:
+            first = 1 << (wide - 1).bit_length() - 1
+            a, b = self.of(first), self.of(wide - first)
+            n = max(len(self.sums[1]) - wide + 1, 0)
+            self.sums[wide] = a[:n] + b[first : first + n]
+        return self.sums[wide]
 
 
 class Searcher:
@@ -255,7 +282,7 @@ class Searcher:
         out: list[list] = [[] for _ in texts]
         if not self.groups:
             return out
-        columns = Columns(self.dimensions)
+        columns = _worker_columns(self.dimensions)
         # Each text fills whole blocks, then empty ones, so that no window reaches the next text.
         sizes = np.array([(-(-len(w) // BLOCK) + self.pad) * BLOCK for w in words], np.int64)
         starts = np.cumsum(sizes) - sizes
@@ -267,16 +294,14 @@ class Searcher:
             part = flat[i * BLOCK : i * BLOCK + _CHUNK]
             blocks[i : i + len(part) // BLOCK] = self.project[part].reshape(-1, BLOCK, blocks.shape[1]).sum(axis=1)
         text_of_block = np.repeat(np.arange(len(texts)), sizes // BLOCK)
+        windows = Windows(blocks)
         for wide, items, vectors, holds, least in self.groups:
             found: dict[tuple[int, int], list[int]] = {}
-            for i in range(0, len(blocks) - wide + 1, _CHUNK // BLOCK):
-                n = min(_CHUNK // BLOCK, len(blocks) - wide + 1 - i)
-                window = blocks[i : i + n].copy()
-                for k in range(1, wide):
-                    window += blocks[i + k : i + k + n]
+            sums = windows.of(wide)
+            for i in range(0, len(sums), _CHUNK // BLOCK):
+                window = sums[i : i + _CHUNK // BLOCK]
                 norms = np.sqrt(np.einsum("ij,ij->i", window, window))
-                near = window @ vectors >= (self.cosine * np.maximum(norms, 1e-20))[:, None]
-                near[norms == 0] = False
+                near = window @ vectors >= np.where(norms > 0, self.cosine * norms, np.inf)[:, None]
                 at, item = near.nonzero()
                 at += i
                 for j in range(0, len(at), _CHUNK):
@@ -291,7 +316,7 @@ class Searcher:
         return out
 
     @staticmethod
-    def _check(item: Item, words: list[str], starts: list[int], width: int) -> tuple | None:
+    def _check(item: Item, words: list[bytes], starts: list[int], width: int) -> tuple | None:
         """The best match around windows that begin at ``starts``."""
         best = None
         n, m = len(item.words), len(item.answer)
