@@ -35,8 +35,8 @@ from .common import materialize, plain, text_bytes
 
 #: Words of the runs whose hashes are minimisers.
 MER = 8
-#: Super-k-mers of one minimiser that are sorted in one bucket.
-HOT = 2048
+#: Super-k-mers of one minimiser that are sorted in one bucket: about 25 MB of words.
+HOT = 65536
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
