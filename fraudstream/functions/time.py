@@ -12,12 +12,12 @@ def _col(c: str | Column) -> Column:
 
 def transaction_hour(unix_time: str | Column = "unix_time") -> Column:
     """Hour of day 0..23 (UTC); negative epochs wrap like a clock (-1 s -> 23)."""
-    return F.pmod(F.floor(_col(unix_time) / 3600).cast("int"), F.lit(24))
+    return F.pmod(F.floor(_col(unix_time) / 3600), F.lit(24)).cast("int")
 
 
 def transaction_day_of_week(unix_time: str | Column = "unix_time") -> Column:
     """Day of week 0..6 with 0 = Sunday (the epoch day is a Thursday = 4)."""
-    return F.pmod((F.floor(_col(unix_time) / 86400) + 4).cast("int"), F.lit(7))
+    return F.pmod(F.floor(_col(unix_time) / 86400) + 4, F.lit(7)).cast("int")
 
 
 def epoch_to_timestamp(unix_time: str | Column = "unix_time") -> Column:

@@ -76,9 +76,10 @@ def category_risk(scored: DataFrame, *, top: int = 6, unknown_label: str | None
     return (
         scored.groupBy(category.alias("category"))
         .agg(F.count(F.lit(1)).alias("transactions"), F.sum(flagged).alias("fraud_count"))
-        .withColumn("fraud_rate", F.round(F.col("fraud_count") / F.col("transactions"), 6))
+        .withColumn("fraud_rate", F.col("fraud_count") / F.col("transactions"))
         .orderBy(F.desc("fraud_rate"), F.desc("transactions"), F.asc("category"))
         .limit(top)
+        .withColumn("fraud_rate", F.round("fraud_rate", 6))
     )
 
 

@@ -76,7 +76,7 @@ def materialize(dictionary: DataFrame) -> DataFrame:
 
     spark = dictionary.sparkSession
     path = shared_dir(spark, "dictionaries", uuid.uuid4().hex)
-    dictionary.coalesce(1).write.parquet(path)
+    dictionary.write.parquet(path)
     return spark.read.schema(DICTIONARY_SCHEMA).parquet(path)
 
 

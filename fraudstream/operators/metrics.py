@@ -173,12 +173,18 @@ def threshold_sweep(
         "tp",
         "fp",
         "fn",
-        F.round(precision, 6).alias("fraud_precision"),
-        F.round(recall, 6).alias("fraud_recall"),
-        F.round(_safe_div(2 * precision * recall, precision + recall), 6).alias("fraud_f1"),
+        precision.alias("fraud_precision"),
+        recall.alias("fraud_recall"),
+        _safe_div(2 * precision * recall, precision + recall).alias("fraud_f1"),
     )
 
 
+def rounded(sweep: DataFrame, decimals: int = 6) -> DataFrame:
+    """A sweep for display; decisions are taken on the exact values."""
+    rates = ("fraud_precision", "fraud_recall", "fraud_f1")
+    return sweep.withColumns({c: F.round(c, decimals) for c in rates})
+
+
 def operating_point(sweep: DataFrame, min_recall: float = MIN_RECALL) -> DataFrame:
     """Max F1 among recall >= floor (else among all); lowest threshold on ties."""
     eligible = (F.col("fraud_recall") >= min_recall).cast("int")

@@ -137,15 +137,18 @@ SWEEP_SQL = f"""sweep_counts AS (
   GROUP BY t
 ),
 sweep AS (
-  SELECT threshold, tp, fp, fn, round({_P}, 6) AS fraud_precision, round({_R}, 6) AS fraud_recall,
-         round({_F1}, 6) AS fraud_f1
+  SELECT threshold, tp, fp, fn, {_P} AS fraud_precision, {_R} AS fraud_recall, {_F1} AS fraud_f1
   FROM sweep_counts
 )"""
+_SWEEP_ROUNDED = (
+    "SELECT threshold, tp, fp, fn, round(fraud_precision, 6) AS fraud_precision,"
+    " round(fraud_recall, 6) AS fraud_recall, round(fraud_f1, 6) AS fraud_f1 FROM "
+)
 
 
-@query("threshold_sweep", ops=("A10",), sql=with_base(SWEEP_SQL + "\nSELECT * FROM sweep"))
+@query("threshold_sweep", ops=("A10",), sql=with_base(SWEEP_SQL + f"\n{_SWEEP_ROUNDED}sweep"))
 def q_threshold_sweep(spark, sf_dir):
-    return metrics.threshold_sweep(_holdout_scored(spark, sf_dir))
+    return metrics.rounded(metrics.threshold_sweep(_holdout_scored(spark, sf_dir)))
 
 
 @query(
@@ -154,15 +157,15 @@ def q_threshold_sweep(spark, sf_dir):
     sql=with_base(
         SWEEP_SQL
         + f"""
-SELECT threshold, tp, fp, fn, fraud_precision, fraud_recall, fraud_f1 FROM sweep
+{_SWEEP_ROUNDED}(SELECT * FROM sweep
 WHERE fraud_recall >= {metrics.MIN_RECALL}
    OR NOT EXISTS (SELECT 1 FROM sweep WHERE fraud_recall >= {metrics.MIN_RECALL})
-ORDER BY fraud_f1 DESC, threshold ASC LIMIT 1
+ORDER BY fraud_f1 DESC, threshold ASC LIMIT 1) AS chosen
 """
     ),
 )
 def q_operating_point(spark, sf_dir):
-    return metrics.operating_point(metrics.threshold_sweep(_holdout_scored(spark, sf_dir)))
+    return metrics.rounded(metrics.operating_point(metrics.threshold_sweep(_holdout_scored(spark, sf_dir))))
 
 
 @query(

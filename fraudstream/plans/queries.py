@@ -76,7 +76,7 @@ FROM (SELECT CASE WHEN category IS NULL OR category = '' THEN 'Unknown' ELSE cat
              count(*) AS transactions,
              CAST(sum(CASE WHEN coalesce(is_fraud_prediction, 0) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fraud_count
       FROM scored GROUP BY 1)
-ORDER BY fraud_rate DESC, transactions DESC, category ASC
+ORDER BY CAST(fraud_count AS DOUBLE) / transactions DESC, transactions DESC, category ASC
 LIMIT 6
 """
     ),

@@ -61,3 +61,14 @@ def test_display_columns(spark):
     ).collect()
     assert tuple(rows[0]) == ("#abcdefgh", "Kub_fraud_x", "gas transport", "Flagged", "12.3%")
     assert tuple(rows[1])[1:4] == ("Unknown", "Unknown", "Approved")
+
+
+def test_time_columns_of_huge_epochs(spark):
+    from pyspark.sql import functions as F
+
+    from fraudstream.functions.time import transaction_day_of_week, transaction_hour
+
+    row = spark.range(1).select(F.lit(9 * 10**15).alias("unix_time")).select(
+        transaction_hour().alias("h"), transaction_day_of_week().alias("d")
+    ).first()
+    assert (row.h, row.d) == (9 * 10**15 // 3600 % 24, (9 * 10**15 // 86400 + 4) % 7)

@@ -94,3 +94,17 @@ def test_copies_inside_a_batch_are_folded(spark, workdir):
                     model_version="rule-v1")
     out = spark.read.parquet(f"{workdir}/out/transactions_by_day")
     assert out.count() == 5 and out.filter("trans_num = 't-0'").count() == 1
+
+
+def test_batch_without_valid_rows_and_unstorable_amounts(spark, workdir):
+    out = f"{workdir}/out"
+    bad = _records(spark, 0, 6, bad_every=1)
+    job.write_batch(bad.union(bad), 0, out_dir=out, scorer=job.rule_scorer(), model_version="rule-v1")
+    huge = json.dumps(dict(VALID, trans_num="huge", amt=1e300))
+    poison = spark.createDataFrame([("huge", huge, dt.datetime(2024, 1, 1))], "key string, value string, timestamp timestamp")
+    good = _records(spark, 10, 3)
+    job.write_batch(poison.union(good).union(good), 1, out_dir=out, scorer=job.rule_scorer(), model_version="rule-v1")
+    dead = spark.read.parquet(f"{out}/dead_letter")
+    assert dead.filter("batch_id = 0").count() == 12  # every rejected delivery, copies too
+    assert dead.filter("key = 'huge'").first().reasons == ["out_of_range:amt"]
+    assert spark.read.parquet(f"{out}/transactions_by_day").count() == 3
