@@ -50,7 +50,7 @@ class PerfectHash:
         self.shift = np.zeros(self.buckets, np.int64)
         slots = np.full(n, -1, np.int64)
         if n:
-            bucket, first, step = self._parts(keys)
+            bucket, hashes = self._parts(keys)
             order = np.argsort(bucket, kind="stable")
             sizes = np.bincount(bucket, minlength=self.buckets)
             ends = np.cumsum(sizes)
@@ -69,7 +69,7 @@ class PerfectHash:
                     continue
                 d = 0
                 while True:
-                    at = (first[members] + d * step[members]) % n
+                    at = self._places(hashes[members], np.uint64(d))
                     if (slots[at] < 0).all() and len(np.unique(at)) == size:
                         break
                     d += 1
@@ -79,22 +79,25 @@ class PerfectHash:
                 slots[at] = members
         self.slots = slots
 
-    def _parts(self, keys: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each key its bucket, its first slot, and its step from slot to slot."""
+    def _parts(self, keys: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key its bucket and its hash."""
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-        n = np.uint64(max(self.n, 1))
-        bucket = (h >> np.uint64(40)) % np.uint64(self.buckets)
-        mixed = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-        step = mixed % np.uint64(max(self.n - 1, 1)) + np.uint64(1)
-        return bucket.astype(np.int64), (h % n).astype(np.int64), step.astype(np.int64)
+        return (h % np.uint64(self.buckets)).astype(np.int64), h
+
+    def _places(self, h: np.ndarray, d: np.ndarray | np.uint64) -> np.ndarray:
+        """The slots of hashes under displacements, each displacement a new mixing."""
+        x = h ^ (d + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ x >> np.uint64(32)) % np.uint64(self.n)).astype(np.int64)
 
     def lookup(self, keys: Sequence[bytes]) -> np.ndarray:
         """The position that each key would have among the hash's keys; callers compare."""
         if not self.n:
             return np.full(len(keys), -1, np.int64)
-        bucket, first, step = self._parts(keys)
+        bucket, hashes = self._parts(keys)
         d = self.shift[bucket]
-        at = np.where(d < 0, -d - 1, (first + np.maximum(d, 0) * step) % self.n)
+        at = np.where(d < 0, -d - 1, self._places(hashes, np.maximum(d, 0).astype(np.uint64)))
         return self.slots[at]
 
 

@@ -127,16 +127,17 @@ def read_archive(file) -> Iterator[tuple[dict[str, str], bytes]]:
         dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(packed))
         decompressor = zstandard.ZstdDecompressor(dict_data=dictionary)
         pending = b""
-    frame, out = decompressor.decompressobj(), io.BytesIO()
+    frame, out, begun = decompressor.decompressobj(), io.BytesIO(), False
     while True:
         data = pending or file.read(1 << 20)
         pending = b""
         if not data:
-            if out.tell():
+            if begun:
                 raise EOFError("the archive ends inside a record")
             return
         while data:
             out.write(frame.decompress(data))
+            begun = not frame.eof
             data = frame.unused_data if frame.eof else b""
             if frame.eof:
                 yield parse(out.getvalue())

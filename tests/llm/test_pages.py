@@ -83,7 +83,7 @@ TEXT = "This is a paragraph, long enough, with commas, to be scored as text of t
         (f"<article><p>{TEXT}</p><p>a < b <i>and</i> c &am", f"{TEXT}\na < b and c &am"),
         (f"<main><section><h2>One</h2><p>{TEXT}</p></section><section><p>{TEXT} Two.</p></section></main>", f"One\n{TEXT}\n{TEXT} Two."),
         ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\ntwo\nx\ny"),
-        ('<p title="a > b">x</p><p data="unclosed>y', "x"),
+        ('<p title="a > b">x</p><p data="unclosed>y', "x\ny"),
     ],
 )
 def test_main_text(html, want):
