@@ -79,7 +79,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def _near(a: np.ndarray, max_bits: int) -> np.ndarray:
     """Which pairs of ``a`` differ in at most ``max_bits`` bits."""
-    return np.bitwise_count(a[:, None] ^ a[None, :]) <= max_bits
+    u = a.view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
+    return np.bitwise_count(u[:, None] ^ u[None, :]) <= max_bits
 
 
 def _roots_by_pairs(members: np.ndarray, max_bits: int) -> np.ndarray:
@@ -177,7 +178,7 @@ def _linker(max_bits: int, limit: int | None, roots_of_large):
             starts, ends = _shared(keys)
             pairs = starts[ends - starts == 2]
             x, y = fps[pairs], fps[pairs + 1]
-            near = np.bitwise_count(x ^ y) <= max_bits
+            near = np.bitwise_count((x ^ y).view(np.uint64)) <= max_bits
             links = [(np.maximum(x, y)[near], np.minimum(x, y)[near])]
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
                 members = np.sort(fps[s:e])
