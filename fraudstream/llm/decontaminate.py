@@ -51,36 +51,58 @@ _CHUNK = 1 << 14
 _ROWS = 24
 #: ASCII characters that are no letters or digits, as spaces.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-#: Words whose column a worker keeps, dropped when full.
-_KNOWN = 500_000
+#: Bytes hashed at a time, and the longest word that is hashed with its neighbours.
+_HASHED = 1 << 17
+#: Powers of an odd number and of its inverse, modulo 2^64, for hashes of words by their place.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _INVERSES = (np.cumprod(np.full(_HASHED + 1, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(_SPACED).split() if text else []
 
 
-class Columns(dict):
-    """The hashed column of each word that a worker has met."""
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (hashes >> np.uint64(32))
 
-    def __init__(self, dimensions: int):
-        super().__init__()
-        self.dimensions = dimensions
 
-    def __missing__(self, word: bytes) -> int:
-        column = self[word] = xxhash.xxh3_64_intdigest(word) % self.dimensions
-        return column
+def _chunk_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of spaced bytes of at most ``_HASHED`` + 1, all words at once.
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > _KNOWN:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-_columns: dict[int, Columns] = {}
-
-
-def _worker_columns(dimensions: int) -> Columns:
-    return _columns.setdefault(dimensions, Columns(dimensions))
+    Sums of bytes times powers of the base, by place, give a word's polynomial as the
+    difference of two sums; the inverse power takes its place out again.
+    """
+    codes = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = codes != 32
+    edge = np.flatnonzero(np.diff(inside))
+    begin, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _POWERS[: len(codes)], out=sums[1:])
+    return _mixed((sums[end] - sums[begin]) * _INVERSES[begin])
+
+
+def word_columns(texts: list[str | None], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed column of every word of ``words_of`` each text, and each text's number of words."""
+    parts = [t.lower().encode() if t else b"" for t in texts]
+    raw = b" ".join(parts).translate(_SPACED)
+    found, at = [], 0
+    while at < len(raw):
+        end = len(raw) if len(raw) - at <= _HASHED else raw.rfind(b" ", at, at + _HASHED + 1) + 1
+        if end:
+            found.append(_chunk_hashes(raw[at:end]))
+        else:
+            end = raw.find(b" ", at) + 1 or len(raw)
+            found.append(np.array([xxhash.xxh3_64_intdigest(raw[at:end].strip())], np.uint64))
+        at = end
+    flat = np.concatenate(found) if found else np.empty(0, np.uint64)
+    codes = np.frombuffer(raw, np.uint8)
+    begins = codes != 32
+    begins[1:] &= codes[:-1] == 32
+    bounds = np.cumsum([0] + [len(p) + 1 for p in parts])
+    sizes = np.diff(np.searchsorted(np.flatnonzero(begins), bounds))
+    return (flat % np.uint64(dimensions)).astype(np.int64), sizes.astype(np.int64)
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -100,15 +122,13 @@ class Latent:
     sigma: np.ndarray
 
 
-def _passages(texts: list[str | None], columns: Columns, passage: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _passages(texts: list[str | None], dimensions: int, passage: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Some whole passages at a time: the columns that occur, and how often in each passage."""
-    cols = [columns.of(words_of(t)) for t in texts]
-    flat = np.concatenate(cols) if cols else np.empty(0, np.int64)
-    sizes = np.array([len(c) for c in cols], np.int64)
+    flat, sizes = word_columns(texts, dimensions)
     counts = -(-sizes // passage)
     inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     where = np.repeat(np.cumsum(counts) - counts, sizes) + inside // passage
-    place = np.zeros(columns.dimensions, np.int64)
+    place = np.zeros(dimensions, np.int64)
     for first in range(0, int(counts.sum()) if len(flat) else 0, _ROWS):
         lo, hi = np.searchsorted(where, [first, first + _ROWS])
         place[:] = 0
@@ -137,7 +157,7 @@ def document_frequencies(texts: DataFrame, *, dimensions: int, passage: int) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(dimensions + 1, np.int64)
         for batch in batches:
-            for used, a in _passages(batch.column(0).to_pylist(), _worker_columns(dimensions), passage):
+            for used, a in _passages(batch.column(0).to_pylist(), dimensions, passage):
                 counts[used] += (a > 0).sum(axis=0)
                 counts[-1] += len(a)
         yield _emit(0, counts)
@@ -159,7 +179,7 @@ def _sketch(texts: DataFrame, idf: np.ndarray, *, passage: int, width: int, seed
         z = np.zeros((dimensions, width), np.float64)
         c = np.zeros((width, width), np.float64)
         for batch in batches:
-            for used, a in _passages(batch.column(0).to_pylist(), _worker_columns(dimensions), passage):
+            for used, a in _passages(batch.column(0).to_pylist(), dimensions, passage):
                 a = a.astype(np.float32) * idf[used]
                 norms = np.sqrt((a * a).sum(axis=1, keepdims=True))
                 a /= np.where(norms > 0, norms, 1)
@@ -259,14 +279,13 @@ class Searcher:
         self.cosine = cosine
         self.dimensions = len(project)
         self.project = np.vstack([project, np.zeros((1, project.shape[1]), np.float32)])
-        columns = Columns(self.dimensions)
         groups: dict[int, list[Item]] = {}
         for item in items:
             if item.words:
                 groups.setdefault(wide_blocks(len(item.words)), []).append(item)
         self.groups = []
         for wide, own in sorted(groups.items()):
-            cols = [columns.of(i.words) for i in own]
+            cols = [word_columns([b" ".join(i.words).decode()], self.dimensions)[0] for i in own]
             vectors = np.stack([self.project[c].sum(axis=0) for c in cols])
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             holds = np.zeros((len(own), self.dimensions + 1), bool)
@@ -278,23 +297,22 @@ class Searcher:
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, float, float]]]:
         """For each text its matches: item id, and the shares of item and answer found."""
-        words = [words_of(t) for t in texts]
         out: list[list] = [[] for _ in texts]
         if not self.groups:
             return out
-        columns = _worker_columns(self.dimensions)
+        cols, counts = word_columns(texts, self.dimensions)
         # Each text fills whole blocks, then empty ones, so that no window reaches the next text.
-        sizes = np.array([(-(-len(w) // BLOCK) + self.pad) * BLOCK for w in words], np.int64)
+        sizes = (-(-counts // BLOCK) + self.pad) * BLOCK
         starts = np.cumsum(sizes) - sizes
-        flat = np.full(int(sizes.sum()) if len(sizes) else 0, self.dimensions, np.int64)
-        for start, w in zip(starts, words):
-            flat[start : start + len(w)] = columns.of(w)
+        flat = np.full(int(sizes.sum()), self.dimensions, np.int64)
+        flat[np.arange(len(cols)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)] = cols
         blocks = np.empty((len(flat) // BLOCK, self.project.shape[1]), np.float32)
         for i in range(0, len(blocks), _CHUNK // BLOCK):
             part = flat[i * BLOCK : i * BLOCK + _CHUNK]
             blocks[i : i + len(part) // BLOCK] = self.project[part].reshape(-1, BLOCK, blocks.shape[1]).sum(axis=1)
         text_of_block = np.repeat(np.arange(len(texts)), sizes // BLOCK)
         windows = Windows(blocks)
+        words: dict[int, list[bytes]] = {}  # of the texts that have candidates
         for wide, items, vectors, holds, least in self.groups:
             found: dict[tuple[int, int], list[int]] = {}
             sums = windows.of(wide)
@@ -310,6 +328,8 @@ class Searcher:
                     for b, k in zip(a[shared >= least[t]].tolist(), t[shared >= least[t]].tolist()):
                         found.setdefault((int(text_of_block[b]), k), []).append(b)
             for (text, k), at in found.items():
+                if text not in words:
+                    words[text] = words_of(texts[text])
                 match = self._check(items[k], words[text], [b * BLOCK - int(starts[text]) for b in at], wide * BLOCK)
                 if match:
                     out[text].append(match)

@@ -80,7 +80,7 @@ def test_latent_space_follows_the_exact_svd(spark):
     latent = d.fit(texts, rank=8, oversample=40, dimensions=512)
     frequency, n = d.document_frequencies(texts, dimensions=512, passage=128)
     idf = np.log((n + 1) / (frequency + 1)) + 1e-6
-    a = np.stack([np.bincount(d.Columns(512).of(d.words_of(t)), minlength=512) * idf for (t,) in rows])
+    a = np.stack([np.bincount(d.word_columns([t], 512)[0], minlength=512) * idf for (t,) in rows])
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     assert n == 60
     np.testing.assert_allclose(latent.sigma[:4], np.linalg.svd(a, compute_uv=False)[:4], rtol=0.05)
@@ -121,3 +121,14 @@ def test_every_operator_is_registered():
 
     numbers = {int(name[2:].split("_")[0]) for name in entry.queries() if name.startswith("op") and name[2].isdigit()}
     assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_word_columns_agree_with_words_one_by_one():
+    long = "x" * (d._HASHED + 1)
+    texts = ["The cat, the CAT!", None, "", "  ", "caf\u00e9 \u4f60\u597d a1", long, "y" * d._HASHED + " the " + long, "cat " * 60000]
+    flat, sizes = d.word_columns(texts, 512)
+    words = [d.words_of(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    alone = {w: d.word_columns([w.decode()], 512)[0].tolist() for w in set(sum(words, []))}
+    assert flat.tolist() == [alone[w][0] for w in sum(words, [])]
+    assert d.word_columns([], 512)[0].size == 0
