@@ -2,8 +2,8 @@
 
 All counts come from one conditional-sum aggregate (partial aggregation per
 task), never from one job per threshold or per metric. The curve for AUC is
-built over *distinct scores* (rounded to ``score_decimals``), so its
-cumulative window runs over at most 10^decimals + 1 rows whatever the row count.
+built over the *distinct scores*, unrounded, with its cumulative windows cut into
+ranges of the score.
 """
 
 from __future__ import annotations
@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import run_dir
+
+#: Ranges of scores that a curve is summed in, each by one task.
+SCORE_RANGES = 200
+
 # The candidate thresholds and the recall floor of the operating-point rule.
 THRESHOLDS: tuple[float, ...] = (0.3, 0.4, 0.5, 0.55, 0.6, 0.625, 0.65, 0.675, 0.7, 0.75)
 MIN_RECALL = 0.6
@@ -81,51 +86,63 @@ def class_metrics(df: DataFrame, label: str = "is_fraud", prediction: str = "is_
 
 
 def score_curve(
-    df: DataFrame, label: str = "is_fraud", score: str = "fraud_probability", *, score_decimals: int = 6
+    df: DataFrame, label: str = "is_fraud", score: str = "fraud_probability", *, ranges: int = SCORE_RANGES
 ) -> DataFrame:
-    """ROC / PR points per distinct score (descending): cumulative tp, fp, rates.
+    """ROC / PR points per distinct score (descending): cumulative tp, fp, rates, and
+    those of the point before (``before_*``; the first point's own precision stands in).
 
-    Step 1 aggregates rows to distinct scores (partial aggregation); only the
-    bounded distinct-score table is ordered in the cumulative window.
+    Rows are aggregated to distinct exact scores and written once; approximate quantiles
+    of those cut them into ``ranges``, each summed up by its own window, from the totals
+    of the ranges above it. The cuts decide only which task sums a score.
     """
-    s = F.round(F.col(score), score_decimals).alias("score")
-    per_score = df.groupBy(s).agg(
+    distinct = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"),
         F.sum((F.col(label) == 0).cast("long")).alias("neg"),
     )
-    order = Window.orderBy(F.desc("score"))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    path = run_dir(df.sparkSession, "curves")
+    distinct.write.parquet(path)
+    per_score = df.sparkSession.read.schema(distinct.schema).parquet(path)
+    cuts = per_score.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
+    per_score = per_score.withColumn("range", F.size(F.filter(edges, lambda edge: edge <= F.col("score"))))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
-    curve = per_score.select(
-        "score",
-        F.sum("pos").over(running).alias("tp"),
-        F.sum("neg").over(running).alias("fp"),
+    totals = per_score.groupBy("range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    offsets = totals.select(
+        "range",
+        F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp_above"),
+        F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp_above"),
         F.sum("pos").over(everything).alias("p_total"),
         F.sum("neg").over(everything).alias("n_total"),
     )
+    running = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = per_score.withColumns({"tp_in": F.sum("pos").over(running), "fp_in": F.sum("neg").over(running)})
+    # At most ``ranges`` rows.
+    curve = summed.join(F.broadcast(offsets), "range").withColumns(
+        {"tp": F.col("tp_above") + F.col("tp_in"), "fp": F.col("fp_above") + F.col("fp_in")}
+    )
+    tp_before, fp_before = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    precision = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
+    seen = tp_before + fp_before > 0
     return curve.select(
         "score",
         "tp",
         "fp",
         _safe_div(F.col("tp"), F.col("p_total")).alias("tpr"),
         _safe_div(F.col("fp"), F.col("n_total")).alias("fpr"),
-        _safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+        precision.alias("precision"),
+        _safe_div(tp_before, F.col("p_total")).alias("before_tpr"),
+        _safe_div(fp_before, F.col("n_total")).alias("before_fpr"),
+        F.when(seen, _safe_div(tp_before, tp_before + fp_before)).otherwise(precision).alias("before_precision"),
     )
 
 
 def areas(curve: DataFrame) -> DataFrame:
     """A8 + A9: trapezoid areas under ROC (from (0,0)) and PR (from (0, first precision))."""
-    order = Window.orderBy(F.desc("score"))
-    first_precision = F.first("precision").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rise = F.col("tpr") - F.col("before_tpr")
     seg = curve.select(
-        ((F.col("fpr") - F.lag("fpr", 1, 0.0).over(order)) * (F.col("tpr") + F.lag("tpr", 1, 0.0).over(order)) / 2).alias(
-            "roc_piece"
-        ),
-        (
-            (F.col("tpr") - F.lag("tpr", 1, 0.0).over(order))
-            * (F.col("precision") + F.coalesce(F.lag("precision", 1).over(order), first_precision))
-            / 2
-        ).alias("pr_piece"),
+        ((F.col("fpr") - F.col("before_fpr")) * (F.col("tpr") + F.col("before_tpr")) / 2).alias("roc_piece"),
+        (rise * (F.col("precision") + F.col("before_precision")) / 2).alias("pr_piece"),
     )
     return seg.agg(
         F.round(F.sum("roc_piece"), 6).alias("area_under_roc"),

@@ -76,7 +76,7 @@ def q_class_metrics(spark, sf_dir):
 
 
 CURVE_SQL = f"""per_score AS (
-  SELECT round(fraud_probability, 6) AS score,
+  SELECT CAST(fraud_probability AS DOUBLE) AS score,
          sum(CASE WHEN is_fraud = 1 THEN 1 ELSE 0 END) AS pos,
          sum(CASE WHEN is_fraud = 0 THEN 1 ELSE 0 END) AS neg
   FROM holdout_scored GROUP BY 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.contract import contract_valid, validate_columns
 from ..schemas import EVENT_SCHEMA, MODEL_COLUMNS, MODEL_SCHEMA, RAW_TRANSACTION_SCHEMA
@@ -37,16 +38,36 @@ def parse_messages(messages: DataFrame, *, value_col: str = "value") -> DataFram
     )
 
 
+def read_csv_by_name(spark: SparkSession, path: str, schema: StructType, *, required: set[str]) -> DataFrame:
+    """CSV columns matched by the header's names, in whatever order the file has them.
+
+    P1 runs on the header itself, so a missing column is an error before any row is read.
+    Columns outside ``schema`` (the unnamed index of an export) are dropped. All files of
+    a folder must share one header: where all its cells are named Spark refuses another.
+    """
+    header = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    validate_columns(header, source=path, required=required)
+    types = {f.name: f.dataType for f in schema.fields}
+    in_file = StructType([StructField(c, types.get(c, StringType())) for c in header.columns])
+    own = [f.name for f in schema.fields if f.name in in_file.names and f.name != "_c0"]
+    # An unnamed header cell reads as _c0, which no check of names can match.
+    named = "_c0" not in in_file.names
+    return spark.read.schema(in_file).option("header", True).option("enforceSchema", not named).csv(path).select(*own)
+
+
 def read_raw_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Labelled CSV with a header and a leading unnamed index column (dropped)."""
-    return spark.read.schema(RAW_TRANSACTION_SCHEMA).option("header", True).csv(path).drop("_c0")
+    required = set(RAW_TRANSACTION_SCHEMA.names) - {"_c0"}
+    return read_csv_by_name(spark, path, RAW_TRANSACTION_SCHEMA, required=required)
 
 
 def load_model_dataset(spark: SparkSession, path: str, *, fmt: str = "csv") -> DataFrame:
     """Model table: required-column check, 12 columns, rows with any null dropped."""
-    reader = spark.read.option("header", True)
-    df = reader.schema(MODEL_SCHEMA).csv(path) if fmt == "csv" else reader.parquet(path)
-    validate_columns(df, source=path, required=set(MODEL_COLUMNS))
+    if fmt == "csv":
+        df = read_csv_by_name(spark, path, MODEL_SCHEMA, required=set(MODEL_COLUMNS))
+    else:
+        df = spark.read.parquet(path)
+        validate_columns(df, source=path, required=set(MODEL_COLUMNS))
     return df.select(*MODEL_COLUMNS).na.drop("any")
 
 

@@ -41,6 +41,21 @@ def test_auc_of_a_perfect_and_a_random_score(spark):
     assert b.area_under_roc == 0.5
 
 
+def test_scores_that_differ_past_the_sixth_decimal_stay_apart(spark):
+    close = spark.createDataFrame([(1, 0.5000004), (0, 0.5000001)], "is_fraud int, fraud_probability double")
+    a = metrics.areas(metrics.score_curve(close)).first()
+    assert (a.area_under_roc, a.area_under_pr) == (1.0, 1.0)
+
+
+def test_curve_in_ranges_equals_a_plain_running_sum(spark):
+    rows = [((i * 7) % 3 == 0, (i * 37 % 101) / 101) for i in range(500)]
+    df = spark.createDataFrame([(int(y), s) for y, s in rows], "is_fraud int, fraud_probability double")
+    got = {r.score: (r.tp, r.fp) for r in metrics.score_curve(df, ranges=7).collect()}
+    assert got == {
+        t: (sum(y for y, s in rows if s >= t), sum(not y for y, s in rows if s >= t)) for t in {s for _, s in rows}
+    }
+
+
 def test_zero_safe_metrics(spark):
     none_pred = spark.createDataFrame([(0, 0), (1, 0)], "is_fraud int, is_fraud_prediction int")
     m = metrics.class_metrics(none_pred).first()

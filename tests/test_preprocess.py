@@ -1,7 +1,10 @@
 """Raw CSV -> encoded tables (the reference's end-to-end preprocessing test)."""
 
+import pytest
+
 from fraudstream.operators.preprocess import drop_for_modelling, preprocess
-from fraudstream.sources.replay import read_raw_transactions
+from fraudstream.schemas import MODEL_COLUMNS
+from fraudstream.sources.replay import load_model_dataset, read_raw_transactions
 
 HEADER = (
     ",trans_date_trans_time,cc_num,merchant,category,amt,first,last,gender,street,city,state,zip,lat,long,"
@@ -38,6 +41,26 @@ def test_preprocess_end_to_end(spark, workdir):
     assert first["merchant_label"] == -1
 
 
+def test_csv_columns_are_matched_by_name(spark, workdir):
+    swapped = HEADER.replace(",lat,", ",LAT,").replace(",merch_lat,", ",lat,").replace(",LAT,", ",merch_lat,")
+    with open(f"{workdir}/swapped.csv", "w") as f:
+        f.write("\n".join([swapped, _row(0, "a", "food", 10.0, 0)]) + "\n")
+    row = read_raw_transactions(spark, f"{workdir}/swapped.csv").first()
+    assert (row.lat, row.merch_lat) == (40.1, 40.0)
+
+
+def test_model_csv_without_a_column_is_an_error(spark, workdir):
+    names = [c for c in MODEL_COLUMNS if c != "unix_time"]
+    with open(f"{workdir}/model.csv", "w") as f:
+        f.write(",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
+    with pytest.raises(ValueError, match="unix_time"):
+        load_model_dataset(spark, f"{workdir}/model.csv")
+    with open(f"{workdir}/whole.csv", "w") as f:
+        f.write(",".join(reversed(MODEL_COLUMNS)) + "\n" + ",".join(str(i) for i in range(len(MODEL_COLUMNS))) + "\n")
+    row = load_model_dataset(spark, f"{workdir}/whole.csv").first()
+    assert (row.is_fraud, row.amt) == (0, 11.0)
+
+
 def test_drop_for_modelling_ignores_absent_columns(spark):
     df = spark.createDataFrame([(1, "a", 2.0)], "zip int, merchant string, amt double")
     assert drop_for_modelling(df).columns == ["amt"]
