@@ -132,3 +132,38 @@ def test_word_columns_agree_with_words_one_by_one():
     alone = {w: d.word_columns([w.decode()], 512)[0].tolist() for w in set(sum(words, []))}
     assert flat.tolist() == [alone[w][0] for w in sum(words, [])]
     assert d.word_columns([], 512)[0].size == 0
+
+
+def test_no_planted_item_is_lost(spark):
+    """Items put anywhere into real texts, verbatim and paraphrased, where LCS and answer say they are there."""
+    rng = random.Random(3)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = [t for t in (d.words_of(r.text) for r in rows.collect()) if len(t) >= 100]
+    items = [d.Item(r.item_id, d.words_of(r.text), d.answer_of(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    texts, planted = [], []
+    while len(texts) < 600:
+        item, text, kind = rng.choice(items), rng.choice(own), len(texts) % 4
+        n, words = len(item.words), list(item.words)
+        if kind == 1:  # other words, but not in the answer
+            free = range(n - len(item.answer))
+            for k in rng.sample(free, min(len(free), int(n * 0.4))):
+                words[k] = rng.choice(text)
+        elif kind == 2:
+            for k in sorted(rng.sample(range(n), int(n * 0.2)), reverse=True):
+                del words[k]
+        elif kind == 3:
+            for _ in range(n // 4):
+                words.insert(rng.randint(0, len(words)), rng.choice(text))
+        share = d.common_subsequence(item.masks, n, words) / n
+        answer = d.common_subsequence(item.answer_masks, len(item.answer), words) / len(item.answer)
+        if share >= d.LCS or share >= d.LCS_WITH_ANSWER and answer >= d.ANSWER:
+            at = rng.randint(0, len(text))
+            texts.append(b" ".join(text[:at] + words + text[at:]).decode())
+            planted.append(item.id)
+    latent = d.fit(rows.select("text"))
+    found = d.Searcher(items, latent.project, d.COSINE).search(texts)
+    assert all(i in [m[0] for m in ms] for i, ms in zip(planted, found))
+    by_id = {i.id: i for i in items}
+    for text, ms in zip(texts, found):  # and nothing is found that the check on the whole text denies
+        words = d.words_of(text)
+        assert all(d.common_subsequence(by_id[i].masks, len(by_id[i].words), words) / len(by_id[i].words) >= s for i, s, _ in ms)
