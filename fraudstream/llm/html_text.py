@@ -1,7 +1,8 @@
 """Main text of web pages by scoring the element tree.
 
 A page is parsed into a tree; elements that are boilerplate by tag, role or class are
-cut. Each paragraph with some text passes points to its ancestors: one, one for each
+cut, but for forms and elements cut by class or id that wrap the page's main element,
+its articles, its h1 or most of its paragraphs' text. Each paragraph with some text passes points to its ancestors: one, one for each
 comma, and up to three for length, all of it to the parent, half to the next, less
 further up, discounted by the share of its text in links. The element with the most
 points, again discounted by its link density, is the container; it widens to the
@@ -34,6 +35,7 @@ _BLOCK = frozenset(
     " summary table tbody td tfoot th thead tr ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_MARKS = frozenset(("main", "article", "h1"))
 _CUT = frozenset(
     "head nav header footer aside form button select input label fieldset dialog menu search svg canvas audio video"
     " object embed map math".split()
@@ -51,6 +53,7 @@ _CUT_NAMES = frozenset(
 )
 _TEXT_NAMES = frozenset("article content main body post entry story text".split())
 _NEVER_TEXT = frozenset("comment comments commentlist disqus replies responses ad ads advert advertisement".split())
+_COMMENT_NAMES = _NEVER_TEXT - frozenset("ad ads advert advertisement".split())
 _ROOTS = frozenset(("html", "body", "main", "article"))
 #: Elements that an opening tag closes first, and those that such closing doesn't cross.
 _CLOSES = {
@@ -74,6 +77,10 @@ _LIMITS = {
 _P_LIMITS = frozenset("table td th caption button object html body div article section main aside nav header footer".split())
 #: A paragraph below this length passes no points.
 _PARAGRAPH_CHARS = 25
+#: A form, or an element cut by its names, with more of the paragraphs' text than this is kept.
+_MOST = 2 / 3
+#: Why an element is cut: for good, as a form or by its names, as comments. 0 is kept.
+_GONE, _NAMED, _COMMENTS = 1, 2, 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>"
@@ -94,30 +101,35 @@ class Element:
         self.points = 0.0
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    """Whether an element is cut, by its tag and attributes."""
+def boilerplate(tag: str, attributes: str) -> int:
+    """Why an element is cut, by its tag and attributes; 0 if it isn't."""
     if tag in _ROOTS:
-        return False
-    if tag in _CUT:
-        return True
+        return 0
+    if tag in _CUT and tag != "form":
+        return _GONE
+    named = _NAMED if tag == "form" else 0
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return named
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true":
-        return True
+        return _GONE
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
+        return _GONE
     if found.get("role", "").lower() in _CUT_ROLES:
-        return True
+        return _GONE
     names = {p.lower() for key in ("class", "id") for p in _NAME_PART.findall(found.get(key, ""))}
-    if names & _NEVER_TEXT:
-        return True
-    return bool(names & _CUT_NAMES) and not names & _TEXT_NAMES
+    if names & _COMMENT_NAMES:
+        return _COMMENTS
+    if names & _NEVER_TEXT or names & _CUT_NAMES and not names & _TEXT_NAMES:
+        return _NAMED
+    return named
 
 
 def parse(html: str) -> Element:
     """The element tree under one root; what cut elements hold is not kept."""
     root = node = Element("html", None)
+    named: dict[Element, int] = {}
+    marks: list[Element] = []
     at, size = 0, len(html)
     scan = _TOKEN.finditer
     while at < size:
@@ -135,9 +147,14 @@ def parse(html: str) -> Element:
             if name == "html":
                 continue
             node = _make_room(node, name)
-            inside = Element(name, node, node.cut or is_boilerplate(name, token[3]))
-            if not inside.cut:
+            why = _GONE if node.cut else boilerplate(name, token[3])
+            inside = Element(name, node, why == _GONE)
+            if why != _GONE:
                 node.children.append(inside)
+                if why:
+                    named[inside] = why
+                if name in _MARKS:
+                    marks.append(inside)
             if name in _RAW:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else size
@@ -148,9 +165,57 @@ def parse(html: str) -> Element:
             if at < size and not node.cut:
                 node.children.append(unescape(html[at:]))
             at = size
+    if named:
+        _cut_named(root, named, marks)
     return root
 
 
+def _cut_named(root: Element, named: dict[Element, int], marks: list[Element]) -> None:
+    """Cut forms and elements with names of boilerplate, but for those that wrap what the page is about.
+
+    These hold the main element; the h1s, if none is elsewhere; or, in pages with neither
+    main nor articles elsewhere, an article and half of the paragraphs' text outside
+    comments, or most of it. Comments are kept only for a main element or the h1s.
+    """
+
+    def around(node: Element) -> list[Element]:
+        found, up = [], node
+        while up is not None:
+            if up in named:
+                found.append(up)
+            up = up.parent
+        return found
+
+    holds: dict[Element, set[str]] = {e: set() for e in named}
+    free: set[str] = set()
+    for mark in marks:
+        above = around(mark)
+        if not above:
+            free.add(mark.tag)
+        # An article in comments is one of them.
+        if mark.tag != "article" or all(named[e] != _COMMENTS for e in above):
+            for e in above:
+                holds[e].add(mark.tag)
+    total, chars = 0, dict.fromkeys(named, 0)
+    if not free & {"main", "article"}:
+        for owner, text, linked in blocks_of(root):
+            if len(text) < _PARAGRAPH_CHARS or owner.tag in _HEADINGS:
+                continue
+            above = around(owner)
+            if all(named[e] != _COMMENTS for e in above):
+                total += len(text) - linked
+                for e in above:
+                    chars[e] += len(text) - linked
+    for e in named:
+        wraps = "main" in holds[e] or "h1" in holds[e] - free
+        if not free & {"main", "article"}:
+            wraps = wraps or chars[e] > _MOST * total or "article" in holds[e] and 2 * chars[e] >= total
+        if not wraps:
+            e.cut = True
+    for parent in {e.parent for e in named if e.cut}:
+        parent.children = [c for c in parent.children if isinstance(c, str) or not c.cut]
+
+
 def _close(node: Element, name: str) -> Element:
     """The element that is open after an end tag; an end tag without its start is skipped."""
     found = node

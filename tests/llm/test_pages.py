@@ -102,3 +102,32 @@ def test_links_lose(spark):
 def test_deep_and_broken_pages():
     assert html_text.main_text("<div>" * 50_000 + TEXT) == TEXT
     assert html_text.main_text("</p></div>" * 1000 + f"<p>{TEXT}") == TEXT
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<form id=aspnetForm>{}</form>",
+        "<div class='site has-sidebar'>{}</div>",
+        "<div class='layout no-sidebar'><form>{}</form></div>",
+        "<div id=page class='nav-open'>{}</div>",
+        "<div class='sticky-header'>{}</div>",
+        "<div class='no-ads'>{}</div>",
+    ],
+)
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_wrappers_of_the_page_are_not_cut(wrapper, inside):
+    body = f"<h1>Title</h1><p>{TEXT}</p><p>{TEXT} Two.</p>"
+    rest = f"<div class=sidebar><p>{TEXT} Aside.</p></div><form><p>{TEXT} Form.</p></form>"
+    rest += f"<div class=comments><article><p>{TEXT} Mine.</p><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></article></div>"
+    for html in (wrapper.format(inside.format(body) + rest), wrapper.format(inside.format(body)) + rest):
+        assert html_text.main_text(html) == f"Title\n{TEXT}\n{TEXT} Two."
+    no_title = f"<p>{TEXT}</p><p>{TEXT} Two.</p>"
+    assert html_text.main_text(wrapper.format(inside.format(no_title))) == f"{TEXT}\n{TEXT} Two."
+
+
+def test_boilerplate_beside_the_text_stays_cut():
+    teaser = f"<div class=related><article><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></article></div>"
+    assert html_text.main_text(f"<article><p>{TEXT} One.</p></article>{teaser}") == f"{TEXT} One."
+    assert html_text.main_text(f"<main><p>{TEXT} One.</p></main>{teaser}") == f"{TEXT} One."
+    assert html_text.main_text(f"<h1>T</h1><p>{TEXT}</p><p>{TEXT}</p><form><p>{TEXT} Form.</p></form>") == f"T\n{TEXT}\n{TEXT}"
