@@ -7,7 +7,10 @@ comma, and up to three for length, all of it to the parent, half to the next, le
 further up, discounted by the share of its text in links. The element with the most
 points, again discounted by its link density, is the container; it widens to the
 article or main element around it, and its siblings with enough points, plain
-paragraphs and headings are kept. Without any points the whole body is taken.
+paragraphs and headings are kept. Without such an element it widens to its parent, and on
+below the body as long as less than half of what it adds is links; what is added is each
+block, and each run of text between blocks, that isn't half links or more. Without any
+points the whole body is taken.
 
 Defined results: null html is empty; a page without text gives an empty string;
 unclosed, crossed and cut tags are closed where HTML closes them; pages are taken
@@ -340,11 +343,47 @@ def _kept_siblings(best: Element) -> list[Element]:
     return kept
 
 
+def _with_text_beside(best: Element) -> Element:
+    """The container's parents below the body, without blocks and runs that are half links or more."""
+    kept = best
+    while (parent := best.parent) is not None:
+        beside = Element(parent.tag, None)
+        runs: list[list[Element | str]] = [[]]
+        for child in parent.children:
+            if child is best or not isinstance(child, str) and child.tag in _BLOCK:
+                runs += [[child], []]
+            else:
+                runs[-1].append(child)
+        for run in runs:
+            if run and run[0] is best:
+                beside.children.append(kept)
+            elif not _half_links(run) or isinstance(run[0], Element) and run[0].tag in _HEADINGS:
+                beside.children += run
+        added, linked = parent.chars - best.chars, parent.linked - best.linked
+        best, kept = parent, beside
+        if best.parent is None or best.parent.parent is None or best.parent.tag == "body" or 2 * linked >= added > 0:
+            break
+    return kept
+
+
+def _half_links(run: list[Element | str]) -> bool:
+    """Whether neighbours, a block or what stands between blocks, are half links or more."""
+    inside = Element("div", None)
+    inside.children = run
+    found = [(len(text), linked) for _, text, linked in blocks_of(inside)]
+    return 2 * sum(linked for _, linked in found) >= sum(n for n, _ in found) > 0
+
+
 def main_text(html: str) -> str:
     """The page's main text, a line for each block."""
     root = parse(html)
     best = score(root)
-    kept = [root] if best is None else _kept_siblings(_around(best))
+    if best is None:
+        kept = [root]
+    elif (around := _around(best)).tag in ("article", "main"):
+        kept = _kept_siblings(around)
+    else:
+        kept = [_with_text_beside(best)]
     return "\n".join(text for node in kept for _, text, _ in blocks_of(node))
 
 

@@ -131,3 +131,18 @@ def test_boilerplate_beside_the_text_stays_cut():
     assert html_text.main_text(f"<article><p>{TEXT} One.</p></article>{teaser}") == f"{TEXT} One."
     assert html_text.main_text(f"<main><p>{TEXT} One.</p></main>{teaser}") == f"{TEXT} One."
     assert html_text.main_text(f"<h1>T</h1><p>{TEXT}</p><p>{TEXT}</p><form><p>{TEXT} Form.</p></form>") == f"T\n{TEXT}\n{TEXT}"
+
+
+def test_short_sections_beside_the_longest_are_kept():
+    long = f"<section><h2>One</h2>{f'<p>{TEXT}</p>' * 10}</section>"
+    short = "<section><p>A second section of two or three short lines only.</p><ul><li>x<li>y</ul></section>"
+    table = "<div><table><tr><td>a<td><a href=/>b</a> c, and d</table></div>"
+    links = f"<div>{f'<a href=/>{TEXT}</a> ' * 3}</div>"
+    want = "\n".join(["One", *[TEXT] * 10, "A second section of two or three short lines only.", "x", "y", "a", "b c, and d"])
+    parts = long + short + table + links
+    for html in (f"<body><div id=content>{parts}</div>", f"<body>{parts}", f"<div id=content><div>{long}</div>{short}{table}{links}</div>"):
+        assert html_text.main_text(html) == want
+    bare = f"<div id=content>{long}Text of its own, <b>bold</b> and <a href=/>linked</a><p>End <a href=/>now</a> then.</p></div>"
+    assert html_text.main_text(bare).splitlines()[11:] == ["Text of its own, bold and linked", "End now then."]
+    nested = f"<body><div id=content><div>{long}{long}</div><div>{short}</div></div><div>Copyright of the page</div>"
+    assert html_text.main_text(nested).splitlines()[22:] == ["A second section of two or three short lines only.", "x", "y"]
