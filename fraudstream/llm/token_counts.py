@@ -6,8 +6,10 @@ the sum of its pre-tokens' lengths; a pre-token outside the table is encoded by
 library and kept in the worker's own bounded cache. The sample decides only what is in
 the table, never a count.
 
-Texts with a special token's string, or with characters outside the Latin blocks, where
-the library's normaliser does more than lower-case, are encoded whole by the library.
+Texts with characters outside the Latin blocks, where the normaliser does more than
+lower-case, are normalised and split by the library's own steps of the file; their
+pre-tokens are looked up like all others. Only texts with a special token's string are
+encoded whole by the library.
 
 Defined results: null text is empty: 0 bytes, 0 tokens; an empty table gives an empty
 result; rows are counted one by one, so repeated rows and ids stay; columns other than
@@ -24,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
 from .common import plain
 
@@ -44,28 +46,38 @@ class Lengths:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces, self.special = pretokens(spec)
+        self.split = pretokens(spec)
         self.known = _Tiers(table)
+        # Pre-tokens are normalised and split already.
+        self.of_pieces = Tokenizer.from_str(spec)
+        if self.split is not None:
+            self.of_pieces.normalizer = normalizers.Sequence([])
+            self.of_pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.of_pieces.no_truncation()
+            self.of_pieces.no_padding()
 
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.of_pieces.encode_batch_fast(pieces, add_special_tokens=False)]
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         out, split, whole = [0] * len(texts), [], []
         missing: set[str] = set()
         for i, text in enumerate(texts):
-            if self.pieces is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            found = self.split(text) if self.split is not None else None
+            if found is None:
                 whole.append(i)
                 continue
-            found = self.pieces(text.lower())
             split.append((i, found))
             missing.update(p for p in set(found) if p not in self.known)
         cache = self.known.cache
         if len(cache) + len(missing.difference(cache)) > CACHE:
             cache.clear()
         todo = list(missing.difference(cache))
-        cache.update(zip(todo, self.encode(todo)))
+        cache.update(zip(todo, self.encode_pieces(todo)))
         for i, found in split:
             out[i] = sum(map(self.known.__getitem__, found))
         for i in whole:
@@ -84,47 +96,60 @@ class _Tiers(dict):
         return self.cache[piece]
 
 
-def pretokens(spec: str) -> tuple[Callable[[str], list[str]] | None, list[str]]:
-    """How a tokenizer file splits lower-cased plain text, and its special strings.
+def pretokens(spec: str) -> Callable[[str], list[str] | None] | None:
+    """How a tokenizer file splits a text; the function gives None for texts with special strings.
 
     None where the file's normaliser or splitter is of another kind; its texts are then
     encoded whole.
     """
     made = json.loads(spec)
     special = [t["content"] for t in made.get("added_tokens") or []]
-    steps = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    steps = (made.get("normalizer") or {}).get("normalizers", [])
     splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    if steps != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in splits] != ["Split", "ByteLevel"]:
-        return None, special
+    if [n["type"] for n in steps] != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in splits] != ["Split", "ByteLevel"]:
+        return None
     split, level = splits
     if not split["invert"] or split["behavior"] != "Removed" or level["use_regex"] or level["add_prefix_space"]:
-        return None, special
-    return regex.compile(split["pattern"]["Regex"]).findall, special
+        return None
+    if "Regex" not in split["pattern"] or "Regex" not in steps[1]["pattern"]:
+        return None
+    plainly = regex.compile(split["pattern"]["Regex"]).findall
+    replace = normalizers.Replace(Regex(steps[1]["pattern"]["Regex"]), steps[1]["content"])
+    normalise = normalizers.Sequence([normalizers.NFC(), replace, normalizers.Lowercase()]).normalize_str
+    pieces = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True).pre_tokenize_str
+
+    def run(text: str) -> list[str] | None:
+        if any(s in text for s in special):
+            return None
+        if _PLAIN.fullmatch(text):
+            return plainly(text.lower())
+        text = normalise(text)
+        return None if any(s in text for s in special) else [p for p, _ in pieces(text)]
+
+    return run
 
 
 def frequent_lengths(docs: DataFrame, spec: str, *, text_col: str, table: int, sample_rows: int) -> dict[str, int]:
     """Token lengths of the ``table`` most frequent pre-tokens of about ``sample_rows`` rows."""
-    pieces, _ = pretokens(spec)
     n = docs.count()
-    if pieces is None or not n:
+    if pretokens(spec) is None or not n:
         return {}
     text = docs.select(F.coalesce(plain(text_col), F.lit("")).alias("text"))
     sample = text if n <= sample_rows else text.sample(False, sample_rows / n, 7)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, _ = pretokens(spec)
+        split = pretokens(spec)
         for batch in batches:
             counts = Counter()
             for t in batch.column(0).to_pylist():
-                if _PLAIN.fullmatch(t):
-                    counts.update(split(t.lower()))
+                counts.update(split(t) or [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["piece", "n"]
             )
 
     counted = sample.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     top = [r.piece for r in counted.orderBy(F.desc("n"), "piece").limit(table).collect()]
-    return dict(zip(top, Lengths(spec, {}).encode(top)))
+    return dict(zip(top, Lengths(spec, {}).encode_pieces(top)))
 
 
 def _pack(lengths: dict[str, int]) -> tuple[bytes, list[int]]:

@@ -72,3 +72,16 @@ def test_perfect_hash_is_minimal():
     assert found.lookup(keys).tolist() == list(range(5000))
     assert byte_bpe.PerfectHash([]).lookup([b"x"]).tolist() == [-1]
     assert byte_bpe.PerfectHash([b"x"]).lookup([b"x"]).tolist() == [0]
+
+
+def test_texts_beyond_latin_are_looked_up_too(monkeypatch):
+    path = public_tokenizers.path(WORD_BPE)
+    with open(path, encoding="utf-8") as file:
+        lengths = token_counts.Lengths(file.read(), {"the": 1})
+    texts = ["It\u2019s \u201cthe\u201d end \u2013 20\u20ac", "a\xa0no-break space", "\U0001f600\U0001f3fd the \u2764\ufe0f'S", "\u041f\u0440\u0418\u0432\u0415\u0442 \u4f60\u597d",
+             "\u039f\u0394\u039f\u03a3 \u0130I\u0307\u0323 \u1e9e\ufb01", "e\u0301 o\u0323\u0302 \u1100\u1161\u11a8 \u212b\u2126", "\u0e2a\u0e27\u0e31 \u0661\u0662 \u2028 \u3000x\x1c\x85y\u200b z"]
+    texts += ["".join(chr(c) for c in range(i, i + 512) if not 0xD800 <= c < 0xE000) for i in range(0, 0x20000, 512)]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    whole = []
+    monkeypatch.setattr(lengths, "encode", lambda texts: whole.extend(texts) or [-1] * len(texts))
+    assert lengths.count(texts) == want and not whole
