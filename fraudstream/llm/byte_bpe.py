@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -185,12 +186,14 @@ class ByteBPE:
         return b"".join(map(self.of_rank.__getitem__, ids))
 
 
-_workers: dict[tuple[int, str], ByteBPE] = {}
+_workers: dict[tuple[str, str], ByteBPE] = {}
 
 
-def _worker(key: int, ranks, pattern: str) -> ByteBPE:
-    """This process's tables, built at first use."""
+def _worker(key: str, ranks, pattern: str) -> ByteBPE:
+    """This process's tables of the latest calls, built at first use; encode and decode take turns."""
     if (key, pattern) not in _workers:
+        if len(_workers) > 1:
+            del _workers[next(iter(_workers))]
         tokens, numbers, found = ranks.value
         _workers[key, pattern] = ByteBPE(dict(zip(tokens, numbers)), pattern, found)
     return _workers[key, pattern]
@@ -208,7 +211,7 @@ def encode(
 ) -> DataFrame:
     """(id, ids array<int>) of each row's whole text, by the ranks at ``ranks_path`` (read by the driver)."""
     ranks = _broadcast(docs, ranks_path)
-    key = id(ranks)
+    key = uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +229,7 @@ def encode(
 def decode(encoded: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded binary) of each row's list of ids."""
     ranks = _broadcast(encoded, ranks_path)
-    key = id(ranks)
+    key = uuid.uuid4().hex
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

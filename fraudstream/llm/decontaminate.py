@@ -29,6 +29,7 @@ empty table of documents or items gives no match. Texts are searched whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -372,7 +373,7 @@ class Searcher:
         return best
 
 
-_workers: dict[int, Searcher] = {}
+_workers: dict[str, Searcher] = {}
 
 
 def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> Iterator[list[tuple]]:
@@ -425,7 +426,7 @@ def flag_leaks(
 
 def _search(project, items, cosine: float):
     """mapInArrow function that adds the matches of one block of items."""
-    key = items.id if hasattr(items, "id") else id(items)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _workers:

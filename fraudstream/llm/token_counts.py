@@ -19,6 +19,7 @@ id and text are not read. Texts are counted whole.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -157,12 +158,13 @@ def _pack(lengths: dict[str, int]) -> tuple[bytes, list[int]]:
     return "\n".join(lengths).encode(), list(lengths.values())
 
 
-_workers: dict[int, Lengths] = {}
+_workers: dict[str, Lengths] = {}
 
 
-def _worker(key: int, spec, packed) -> Lengths:
-    """This process's tokenizer and table, built at first use."""
+def _worker(key: str, spec, packed) -> Lengths:
+    """This process's tokenizer and table of the latest call, built at first use."""
     if key not in _workers:
+        _workers.clear()
         joined, lengths = packed.value
         _workers[key] = Lengths(spec.value, dict(zip(joined.decode().split("\n"), lengths)) if lengths else {})
     return _workers[key]
@@ -188,7 +190,7 @@ def count_tokens(
         text = file.read()
     frequent = frequent_lengths(docs, text, text_col=text_col, table=table, sample_rows=sample_rows)
     spec, packed = sc.broadcast(text), sc.broadcast(_pack(frequent))
-    key = id(packed)
+    key = uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

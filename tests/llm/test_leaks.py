@@ -167,3 +167,21 @@ def test_no_planted_item_is_lost(spark):
     for text, ms in zip(texts, found):  # and nothing is found that the check on the whole text denies
         words = d.words_of(text)
         assert all(d.common_subsequence(by_id[i].masks, len(by_id[i].words), words) / len(by_id[i].words) >= s for i, s, _ in ms)
+
+
+def test_workers_never_search_with_the_items_of_another_broadcast():
+    """Two broadcasts at one address, as after the first was collected."""
+    import pyarrow as pa
+
+    class Held:
+        value = None
+
+    project, items = Held(), Held()
+    project.value = np.random.default_rng(1).standard_normal((512, 8)).astype(np.float32)
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    kind = pa.list_(pa.struct([("item", pa.int64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts), pa.array([[], []], kind)], ["row", "text", "leaks"])
+    for n, text in enumerate(texts):
+        items.value = [(n, d.words_of(text), d.words_of(text))]
+        (found,) = d._search(project, items, d.COSINE)([batch])
+        assert [[m["item"] for m in ms] for ms in found.column("leaks").to_pylist()] == [[n] if t == text else [] for t in texts]
