@@ -63,7 +63,8 @@ STAGES = [
     ("byte_bpe", byte_bpe_encoding),
 ]
 
-#: Latent vectors and fingerprint components have no SQL; tests hold each stage against brute force.
+#: Latent vectors and fingerprint components have no SQL. The pipeline's test compares its stages
+#: with the same operators only; no test holds all five against plain rules.
 ORACLE_SQL = None
 
 
