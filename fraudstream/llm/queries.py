@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     byte_bpe,
     decontaminate,
     html_text,
@@ -27,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: The vocabulary files of the queries; operators take any path.
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +102,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '')"
 
 SQL: dict[str, str] = {
