@@ -13,6 +13,8 @@ from . import (
     byte_bpe,
     decontaminate,
     html_text,
+    language_id,
+    lexical_search,
     line_dedup,
     quality,
     sharding,
@@ -102,6 +104,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment.align(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
@@ -188,6 +199,38 @@ WITH split AS (
 SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(k.n, 0))::BIGINT AS n_removed,
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k USING (doc_id)""",
+    "op12_lexical_search": r"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), lengths AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM found GROUP BY doc_id
+), totals AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS tokens FROM lengths
+), counts AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM found WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+  FROM counts, totals GROUP BY term
+), parts AS (
+  SELECT c.doc_id, c.term,
+         w.w * ((1000000000 * c.tf) // (1000 * c.tf + 12 * (75 + (25 * l.n * t.n_docs) // t.tokens))) AS part
+  FROM counts c JOIN weights w USING (term) JOIN lengths l USING (doc_id), totals t
+), scored AS (
+  SELECT a.item_id, p.doc_id, sum(a.times * p.part)::BIGINT AS score
+  FROM (SELECT item_id, term, count(*)::BIGINT AS times FROM asked GROUP BY ALL) a JOIN parts p USING (term)
+  GROUP BY a.item_id, p.doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20""",
 }
 
 
