@@ -44,10 +44,8 @@ def start_rollup(rollup: DataFrame, *, out_dir: str, checkpoint: str, available_
     """Update-mode rollup persisted per batch id (dynamic overwrite => retry-safe)."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy(
-            "batch_id"
-        ).parquet(out_dir)
+        stamped = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir)
 
     w = rollup.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")).start()
