@@ -147,18 +147,21 @@ REQUEST_STRING_LIMITS = {"merchant": 200, "category": 100, "gender": 20, "job":
 MAX_REQUEST_AMOUNT = 1_000_000
 
 
+def _request_checks() -> dict[str, Column]:
+    """Of each request field the condition it must meet."""
+    checks = {"amount": (F.col("amount") > 0) & (F.col("amount") <= MAX_REQUEST_AMOUNT)}
+    checks |= {c: F.col(c).between(-90, 90) for c in ("customer_latitude", "merchant_latitude")}
+    checks |= {c: F.col(c).between(-180, 180) for c in ("customer_longitude", "merchant_longitude")}
+    checks["city_population"] = F.col("city_population") > 0
+    return checks | {c: F.char_length(F.col(c)).between(1, limit) for c, limit in REQUEST_STRING_LIMITS.items()}
+
+
 def request_valid() -> Column:
     """Scoring-request bounds (P10) as one null-safe predicate."""
-    checks = [
-        F.col("amount") > 0,
-        F.col("amount") <= MAX_REQUEST_AMOUNT,
-        F.col("customer_latitude").between(-90, 90),
-        F.col("merchant_latitude").between(-90, 90),
-        F.col("customer_longitude").between(-180, 180),
-        F.col("merchant_longitude").between(-180, 180),
-        F.col("city_population") > 0,
-    ]
-    checks += [
-        F.char_length(F.col(name)).between(1, limit) for name, limit in REQUEST_STRING_LIMITS.items()
-    ]
-    return F.coalesce(_all(checks), F.lit(False))
+    return F.coalesce(_all(list(_request_checks().values())), F.lit(False))
+
+
+def request_reasons() -> Column:
+    """array<string> of the request fields out of bounds or null (P10); empty = valid."""
+    broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in _request_checks().items()]
+    return F.filter(F.array(*broken), lambda x: x.isNotNull())

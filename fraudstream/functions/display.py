@@ -13,8 +13,8 @@ def _col(c: str | Column) -> Column:
 
 
 def to_money(amt: str | Column = "amt") -> Column:
-    """Amount double -> DECIMAL(18,2): exact, order-independent sums."""
-    return _col(amt).cast("decimal(18,2)")
+    """Amount double -> DECIMAL(18,2): exact, order-independent sums; null where it doesn't fit (1e16 on, NaN)."""
+    return _col(amt).try_cast("decimal(18,2)")
 
 
 def merchant_display(merchant: str | Column = "merchant") -> Column:
@@ -35,6 +35,12 @@ def status_label(prediction: str | Column = "is_fraud_prediction") -> Column:
     return F.when(_col(prediction) == 1, "Flagged").otherwise("Approved")
 
 
+def amount_label(amt: str | Column = "amt") -> Column:
+    """1234.5 -> '$1234.50'; null stays null."""
+    c = _col(amt)
+    return F.when(c.isNotNull(), F.format_string("$%.2f", c.cast("double")))
+
+
 def percent_label(p: str | Column = "fraud_probability") -> Column:
     """0.1234 -> '12.3%'."""
     return F.format_string("%.1f%%", _col(p) * 100)

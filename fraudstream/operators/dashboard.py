@@ -9,7 +9,7 @@ window, which Spark plans with a partial WindowGroupLimit before the exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import to_money
@@ -203,13 +203,17 @@ def clamp_limit(limit: int, lo: int = 1, hi: int = 1000) -> int:
 
 
 def preset_candidates(txn: DataFrame, *, legit_k: int = 32, fraud_k: int = 64) -> DataFrame:
-    """T4: the ``legit_k`` cheapest legitimate and ``fraud_k`` dearest fraud rows.
+    """T4: the ``legit_k`` cheapest legitimate and ``fraud_k`` dearest fraud rows; ties -> smaller id.
 
-    Each side is a top-k (per-task top-k, then a k-row merge); ties -> smaller id.
+    One ranking of both classes in one scan: each task keeps the first rows of its two
+    classes before the shuffle (window group limit), so a class costs its merge only.
     """
-    legit = txn.filter(F.col("is_fraud") == 0).orderBy(F.asc("amt"), F.asc("trans_num")).limit(legit_k)
-    fraud = txn.filter(F.col("is_fraud") == 1).orderBy(F.desc("amt"), F.asc("trans_num")).limit(fraud_k)
-    return legit.unionByName(fraud)
+    known = txn.filter(F.col("is_fraud").isin(0, 1))
+    price = F.when(F.col("is_fraud") == 1, -F.col("amt")).otherwise(F.col("amt"))
+    rank = F.row_number().over(Window.partitionBy("is_fraud").orderBy(F.asc_nulls_last(price), "trans_num"))
+    first = known.withColumn("__rank", rank).filter(F.col("__rank") <= max(legit_k, fraud_k))
+    own = F.when(F.col("is_fraud") == 1, fraud_k).otherwise(legit_k)
+    return first.filter(F.col("__rank") <= own).drop("__rank")
 
 
 def unknown_rate(encoded: DataFrame, *, label_cols: tuple[str, ...], day_col: str = "transaction_day") -> DataFrame:
@@ -263,22 +267,6 @@ def pick_presets(scored: DataFrame, *, columns: tuple[str, ...] | None = None) -
     )
 
 
-def preset_inputs(events: DataFrame) -> DataFrame:
-    """Event -> preset form input (10 fields, renamed)."""
-    return events.select(
-        F.col("amt").alias("amount"),
-        F.col("lat").alias("customer_latitude"),
-        F.col("long").alias("customer_longitude"),
-        F.col("merch_lat").alias("merchant_latitude"),
-        F.col("merch_long").alias("merchant_longitude"),
-        F.col("city_pop").alias("city_population"),
-        "merchant",
-        "category",
-        "gender",
-        "job",
-    )
-
-
 def holdout_snapshot(scored: DataFrame, *, persist: bool = True) -> dict[str, list[dict]]:
     """L3(b) / S13: the hold-out analytics documents from one scored frame.
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.contract import validate_columns
-from ..plans.joins import bounded_broadcast
 from ..schemas import CATEGORICAL_COLUMNS, ENCODER_VERSION, UNKNOWN_CODE
+from ..session import run_dir
+from .lookup import MAX_BYTES, add_codes
 
 DICTIONARY_SCHEMA = T.StructType(
     [
@@ -42,13 +43,9 @@ def fit_dictionary(train: DataFrame, columns: tuple[str, ...] = CATEGORICAL_COLU
     for c in columns:
         if c not in train.columns:
             raise ValueError(f"Training data is missing categorical column {c}")
-    import uuid
-
-    from ..session import shared_dir
-
     spark = train.sparkSession
     vocab = _long_values(train, columns).distinct()
-    path = shared_dir(spark, "vocabulary", uuid.uuid4().hex)
+    path = run_dir(spark, "vocabulary")
     (
         vocab.repartitionByRange("column_name", "value")
         .withColumn("range_id", F.spark_partition_id())
@@ -70,12 +67,8 @@ def fit_dictionary(train: DataFrame, columns: tuple[str, ...] = CATEGORICAL_COLU
 def materialize(dictionary: DataFrame) -> DataFrame:
     """Write the dictionary once as a table in the shared ``spark.checkpoint.dir``
     and read it back: one pass, and later lookups no longer carry the fit's lineage."""
-    import uuid
-
-    from ..session import shared_dir
-
     spark = dictionary.sparkSession
-    path = shared_dir(spark, "dictionaries", uuid.uuid4().hex)
+    path = run_dir(spark, "dictionaries")
     dictionary.write.parquet(path)
     return spark.read.schema(DICTIONARY_SCHEMA).parquet(path)
 
@@ -91,27 +84,17 @@ def encode(
     dictionary: DataFrame,
     columns: tuple[str, ...] = CATEGORICAL_COLUMNS,
     *,
-    max_broadcast_rows: int = 1_000_000,
+    max_broadcast_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Add ``<column>_label`` (int, unknown/null -> -1) by left lookup joins.
 
-    The dictionary is broadcast only after its row count is proven small;
-    otherwise each lookup is a shuffle join on the value.
+    Each column's vocabulary is broadcast up to ``max_broadcast_bytes``; of a larger one
+    the frequent values are, and only the other rows are joined by a shuffle.
     """
     for c in columns:
         if c not in df.columns:
             raise ValueError(f"Data is missing categorical column {c}")
-    dim = bounded_broadcast(dictionary, max_broadcast_rows)
-    out = df
-    for c in columns:
-        lookup = dim.filter(F.col("column_name") == c).select(
-            F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__code_{c}")
-        )
-        out = out.join(lookup, out[c].cast("string") == lookup[f"__v_{c}"], "left")
-        out = out.withColumn(
-            f"{c}_label", F.coalesce(F.col(f"__code_{c}"), F.lit(UNKNOWN_CODE)).cast("int")
-        ).drop(f"__v_{c}", f"__code_{c}")
-    return out
+    return add_codes(df, dictionary, columns, max_bytes=max_broadcast_bytes)
 
 
 def encode_value(dictionary: DataFrame, column: str, value) -> DataFrame:
@@ -151,7 +134,15 @@ def save_dictionary(dictionary: DataFrame, path: str) -> None:
     )
 
 
-def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
+def load_dictionary(spark: SparkSession, path: str, *, metadata: bool = False) -> DataFrame:
+    """A saved dictionary; one of another version or unknown code is refused.
+
+    With ``metadata`` each row has the version and the unknown code as saved.
+    """
     df = spark.read.parquet(path)
-    validate_columns(df, source=path, required={"column_name", "value", "code"})
-    return df.select("column_name", "value", F.col("code").cast("int").alias("code"))
+    validate_columns(df, source=path, required={"column_name", "value", "code", "version", "unknown_value"})
+    known = (F.col("version") == ENCODER_VERSION) & (F.col("unknown_value") == UNKNOWN_CODE)
+    if not df.filter(~F.coalesce(known, F.lit(False))).isEmpty():
+        raise ValueError(f"{path} holds a dictionary of another version")
+    saved = ["version", "unknown_value"] if metadata else []
+    return df.select("column_name", "value", F.col("code").cast("int").alias("code"), *saved)

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from ..operators import dashboard, metrics, model
 from ..schemas import LABEL_COLUMNS, MODEL_COLUMNS
+from ..session import session_key
 from ..sources import fixture
 from ..sources.events import encoded_transactions
 from .registry import query
 
-_MODELS: dict[tuple[int, str], tuple] = {}
+_MODELS: dict[tuple[str, str], tuple] = {}
 
 
 def trained(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _MODELS:
         enc = encoded_transactions(spark, sf_dir)
         train = fixture.train_split(enc)

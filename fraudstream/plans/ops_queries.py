@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions.contract import request_valid, scored_violations
-from ..functions.shard import transaction_shard
 from ..functions.signals import decision_signals
 from ..operators import dashboard, encoders, results, trace
 from ..operators.scoring import rule_scored
@@ -74,12 +73,6 @@ def q_result_rows(spark, sf_dir):
     return _out(_result_rows_light(spark, sf_dir))
 
 
-@query("transaction_shards", ops=("F6",))
-def q_transaction_shards(spark, sf_dir):
-    """crc32 shard per id; DuckDB has no crc32, so this one is checked on rows and in tests."""
-    return fixture.transactions(spark, sf_dir).select("trans_num", transaction_shard("trans_num").alias("shard"))
-
-
 @query(
     "recent_transactions",
     ops=("T1",),
@@ -254,7 +247,7 @@ def q_display_rows(spark, sf_dir):
         display.short_id("trans_num").alias("short_id"),
         display.merchant_display("merchant").alias("merchant_display"),
         display.category_display("category").alias("category_display"),
-        F.format_string("$%.2f", "amt").alias("amount_display"),
+        display.amount_label("amt").alias("amount_display"),
         display.percent_label("fraud_probability").alias("probability_display"),
         display.status_label("is_fraud_prediction").alias("status"),
         F.date_format("inserted_at", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("inserted_at_iso"),

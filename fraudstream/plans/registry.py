@@ -34,6 +34,16 @@ def query(name: str, *, sql: str | None = None, ops: tuple[str, ...] = ()):
 
 
 def registry() -> dict[str, RegisteredQuery]:
-    from . import encoding_queries, io_queries, metric_queries, model_queries, ops_queries, queries, stream_queries  # noqa: F401
+    from . import (  # noqa: F401
+        encoding_queries,
+        io_queries,
+        metric_queries,
+        model_queries,
+        ops_queries,
+        queries,
+        report_queries,
+        state_queries,
+        stream_queries,
+    )
 
     return dict(_REGISTRY)

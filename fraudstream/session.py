@@ -64,6 +64,15 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts]) if parts else base
 
 
+def session_key(spark: SparkSession) -> str:
+    """A name of this session that no other one gets, for caches of what was derived in it."""
+    key = spark.conf.get("fraudstream.session", None)
+    if key is None:
+        key = uuid.uuid4().hex
+        spark.conf.set("fraudstream.session", key)
+    return key
+
+
 def run_dir(spark: SparkSession, kind: str) -> str:
     """A fresh folder under :func:`shared_dir`, deleted when the session's JVM ends.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.encoders import encode, fit_dictionary
 from ..schemas import EVENT_SCHEMA
+from ..session import session_key
 from . import fixture
 
 # Injected defects, keyed on l_orderkey modulo a prime.
@@ -34,14 +35,20 @@ def _defect(name: str) -> Column:
     return F.col("order_key") % prime == 0
 
 
+_DICTIONARIES: dict[tuple[str, str], DataFrame] = {}
+
+
 def train_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary fitted on the training split, materialised once (small, bounded
-    by the vocabulary) in the shared checkpoint folder, so later lookups read it
-    instead of re-running the fixture join."""
+    """Dictionary fitted on the training split, materialised once a session (small,
+    bounded by the vocabulary) in the shared checkpoint folder, so later lookups read
+    it instead of re-running the fixture join."""
     from ..operators.encoders import materialize
 
-    txn = fixture.transactions(spark, sf_dir)
-    return materialize(fit_dictionary(fixture.train_split(txn)))
+    key = (session_key(spark), sf_dir)
+    if key not in _DICTIONARIES:
+        txn = fixture.transactions(spark, sf_dir)
+        _DICTIONARIES[key] = materialize(fit_dictionary(fixture.train_split(txn)))
+    return _DICTIONARIES[key]
 
 
 def encoded_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

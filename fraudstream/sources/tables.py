@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import session_key
+
 DRIVER_TABLES = (
     "region",
     "nation",
@@ -71,7 +73,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str,
     return df
 
 
-_SPLITS: dict[tuple[int, str], int] = {}
+_SPLITS: dict[tuple[str, str], int] = {}
 
 
 def spread(df: DataFrame, min_partitions: int | None = None, *, key: str | None = None) -> DataFrame:
@@ -80,7 +82,7 @@ def spread(df: DataFrame, min_partitions: int | None = None, *, key: str | None
     The split count of a path is probed once per session (``key``).
     """
     slots = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    cache_key = (id(df.sparkSession), key) if key else None
+    cache_key = (session_key(df.sparkSession), key) if key else None
     if cache_key is not None and cache_key in _SPLITS:
         splits = _SPLITS[cache_key]
     else:

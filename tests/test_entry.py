@@ -53,7 +53,7 @@ def test_holdout_filter_reaches_scan(spark):
 
 ROWS_ONLY = {
     "ml_scored", "ml_metrics", "ml_auc", "ml_threshold_sweep", "ml_holdout_totals", "ml_category_risk",
-    "ml_presets", "ml_baseline_accuracy", "snapshot_export", "transaction_shards",
+    "ml_presets", "ml_baseline_accuracy", "snapshot_export",
 }
 
 
