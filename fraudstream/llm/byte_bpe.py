@@ -18,9 +18,11 @@ import base64
 import heapq
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -87,9 +89,10 @@ class PerfectHash:
 
     def _places(self, h: np.ndarray, d: np.ndarray | np.uint64) -> np.ndarray:
         """The slots of hashes under displacements, each displacement a new mixing."""
-        x = h ^ (d + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        with np.errstate(over="ignore"):  # products wrap by design
+            x = h ^ (d + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
         return ((x ^ x >> np.uint64(32)) % np.uint64(self.n)).astype(np.int64)
 
     def lookup(self, keys: Sequence[bytes]) -> np.ndarray:
@@ -165,8 +168,8 @@ class ByteBPE:
             else:
                 self.cache[piece] = merge_pairs(key, self.ranks)
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        """Ids of each text."""
+    def encode_flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and where each text's end."""
         split = [self.split(text) for text in texts]
         pieces = set().union(*map(set, split)) if split else set()
         new = pieces.difference(self.cache)
@@ -174,23 +177,61 @@ class ByteBPE:
             self.cache.clear()
             new = pieces
         self.learn(new)
-        out = []
-        for found in split:
-            ids: list[int] = []
-            for part in map(self.cache.__getitem__, found):
-                ids += part
-            out.append(ids)
-        return out
+        # The batch's different pre-tokens are numbered, and their ids laid out once.
+        own = [self.cache[p] for p in pieces]
+        number = dict(zip(pieces, range(len(own))))
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        laid = np.fromiter(chain.from_iterable(own), np.int32, int(size.sum()))
+        first = np.cumsum(size) - size
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        many = size[at]
+        upto = np.append(0, np.cumsum(many))
+        ids = laid[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], many)]
+        return ids, upto[np.cumsum(counts)]
+
+    def encode(self, texts: Sequence[str]) -> list[list[int]]:
+        """Ids of each text."""
+        ids, ends = self.encode_flat(texts)
+        return [part.tolist() for part in np.split(ids, ends[:-1])] if len(texts) else []
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.of_rank.__getitem__, ids))
 
 
+class Decoder:
+    """The bytes of ids, for whole batches at once."""
+
+    def __init__(self, tokens: Sequence[bytes], numbers: Sequence[int]):
+        self.size = max(numbers, default=-1) + 1
+        table: list[bytes | None] = [None] * self.size
+        for token, number in zip(tokens, numbers):
+            table[number] = token
+        self.table = pa.array(table, pa.large_binary())
+
+    def decode(self, rows: pa.Array) -> pa.Array:
+        """The joined bytes of each list of ids; a null list has none."""
+        ids = rows.flatten()
+        known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, self.size))
+        if len(ids) and not pc.all(known).as_py():
+            raise KeyError(pc.filter(ids, pc.invert(known))[0].as_py())
+        taken = self.table.take(ids)
+        if taken.null_count:
+            raise KeyError(pc.filter(ids, taken.is_null())[0].as_py())
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        counts = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = offsets[np.append(0, np.cumsum(counts))] if len(taken) else np.zeros(len(rows) + 1, np.int64)
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(rows), [None, pa.py_buffer(np.ascontiguousarray(ends)), taken.buffers()[2]]
+        )
+
+
 _workers: dict[tuple[str, str], ByteBPE] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def _worker(key: str, ranks, pattern: str) -> ByteBPE:
-    """This process's tables of the latest calls, built at first use; encode and decode take turns."""
+    """This process's tables of the latest calls, built at first use."""
     if (key, pattern) not in _workers:
         if len(_workers) > 1:
             del _workers[next(iter(_workers))]
@@ -217,8 +258,9 @@ def encode(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(key, ranks, pattern)
         for batch in batches:
-            ids = bpe.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+            ids, ends = bpe.encode_flat(batch.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "ids"])
 
     text = F.coalesce(plain(text_col), F.lit("")).alias("text")
     return docs.select(plain(id_col).alias("id"), text).mapInArrow(run, f"id {kind}, ids array<int>").select(
@@ -228,22 +270,19 @@ def encode(
 
 def decode(encoded: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded binary) of each row's list of ids."""
-    ranks = _broadcast(encoded, ranks_path)
+    ranks = read_ranks(ranks_path)
+    sent = encoded.sparkSession.sparkContext.broadcast((list(ranks), list(ranks.values())))
     key = uuid.uuid4().hex
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _worker(key, ranks, "")
+        if key not in _decoders:
+            _decoders.clear()
+            _decoders[key] = Decoder(*sent.value)
         for batch in batches:
             rows = batch.column(1)
-            flat, ends = rows.flatten().to_pylist(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy()).tolist()
-            found, start = [], 0
-            for end in ends:
-                found.append(bpe.decode(flat[start:end]))
-                start = end
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), rows, pa.array(found, pa.binary())], ["id", "ids", "decoded"]
-            )
+            decoded = _decoders[key].decode(rows).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows, decoded], ["id", "ids", "decoded"])
 
     return encoded.select(plain(id_col).alias("id"), plain(ids_col).alias("ids")).mapInArrow(
         run, f"id {kind}, ids array<int>, decoded binary"

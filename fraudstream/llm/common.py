@@ -58,6 +58,32 @@ def text_bytes(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("binary"), F.lit(b""))
 
 
+def cut_words(texts: pa.Array, inside: np.ndarray, written: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, number) of every word of a batch of binary texts, and the different words.
+
+    A word is a run of bytes for which ``inside`` holds; ``written`` is what each byte
+    becomes. All words of the batch are cut at once. Where separators are ASCII, UTF-8
+    keeps them apart from parts of other characters.
+    """
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kept = inside[whole]
+    breaks = np.zeros(len(whole) + 1, bool)
+    breaks[offsets] = True
+    before = np.append(False, kept[:-1]) & ~breaks[:-1]
+    after = np.append(kept[1:], False) & ~breaks[1:]
+    starts, ends = np.flatnonzero(kept & ~before), np.flatnonzero(kept & ~after) + 1
+    upto = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(upto), pa.py_buffer(written[whole[kept]])]
+    )
+    encoded = words.dictionary_encode()
+    rows = np.searchsorted(offsets[1:], starts, side="right")
+    return rows, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+
+
 def plain(column: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col(f"`{column}`")

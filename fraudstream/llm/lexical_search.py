@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plain, text_bytes
+from .common import cut_words, materialize, plain, text_bytes
 
 #: Bytes of text of a segment, postings of a block, queries evaluated together.
 SEGMENT, BLOCK, QUERIES = 32 << 20, 128, 512
@@ -59,28 +59,8 @@ for _from, _to in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
 
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(row, code into the terms) of every term of a batch of binary texts, and the terms.
-
-    Separators are ASCII and UTF-8 keeps ASCII apart, so texts are cut as bytes.
-    """
-    texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    low = LOWER[whole]
-    inside = low != 0
-    breaks = np.zeros(len(low) + 1, bool)
-    breaks[offsets] = True
-    before = np.append(False, inside[:-1]) & ~breaks[:-1]
-    after = np.append(inside[1:], False) & ~breaks[1:]
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    upto = np.append(0, np.cumsum(ends - starts))
-    words = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(low[inside])]
-    )
-    encoded = words.dictionary_encode()
-    rows = np.searchsorted(offsets[1:], starts, side="right")
-    return rows, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+    """(row, code into the terms) of every term of a batch of binary texts, and the terms."""
+    return cut_words(texts, LOWER != 0, LOWER)
 
 
 def counted(rows: np.ndarray, codes: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

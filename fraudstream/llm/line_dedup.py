@@ -191,9 +191,12 @@ def _without_lost_lines(rows: DataFrame, *, min_chars: int, min_docs: int, bits:
     named = rows.select("id", "text").filter("id is not null")
     twice = seen_twice(named, min_chars=min_chars, bits=bits or filter_bits(named))
     found = materialize(suspects(named, twice, min_chars=min_chars), "line-suspects")
-    repeats = found.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
+    counted = found.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
+    # Written, so that its size is known and the join is one of two plain shuffles if it is
+    # large: a very common line is then split, or broadcast with the others.
+    repeats = materialize(counted.filter(F.col("n") >= min_docs), "line-repeats")
     lost = (
-        found.join(repeats.filter(F.col("n") >= min_docs), "key")
+        found.join(repeats, "key")
         .filter(F.col("id") < F.col("keeper"))
         .groupBy("id")
         .agg(F.collect_set("key").alias("lost"))

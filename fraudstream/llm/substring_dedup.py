@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, plain, text_bytes
+from .common import cut_words, materialize, plain, text_bytes
 
 #: Words of the runs whose hashes are minimisers.
 MER = 8
@@ -40,12 +40,17 @@ HOT = 65536
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept for the words of a batch."""
+#: Which bytes are of a word: all but white space.
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
+_BYTES = np.arange(256, dtype=np.uint8)
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each binary text, the number of every word, and the different words' hashes."""
+    rows, numbers, words = cut_words(texts, _INSIDE, _BYTES)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+    return np.bincount(rows, minlength=len(texts)), numbers, hashes
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,22 +108,20 @@ def super_kmers(words: np.ndarray, width: int, mer: int) -> tuple[np.ndarray, np
 
 
 def repeated_windows(texts: list[list[bytes]], groups: list[int], width: int) -> list[np.ndarray]:
-    """For each text the flags of its windows that another window of its group equals.
+    """For each text, of ``width`` words or more, the flags of its windows that another window of its group equals."""
+    joined = pa.array([b" ".join(t) for t in texts], pa.large_binary())
+    return _repeated(*_numbered(joined), np.asarray(groups, np.int64), width)
 
-    All windows are sorted by group and hash; neighbours are then compared by the exact
-    numbers of their words.
-    """
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter(
-        (numbers.setdefault(w, len(numbers)) for t in texts for w in t), np.int64, sum(map(len, texts))
-    )
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))[ids]
-    sizes = np.array([len(t) for t in texts], np.int64)
+
+def _repeated(sizes: np.ndarray, ids: np.ndarray, hashed: np.ndarray, groups: np.ndarray, width: int) -> list[np.ndarray]:
+    """All windows are sorted by group and hash; neighbours are then compared by the exact
+    numbers of their words."""
+    hashes = hashed[ids]
     windows = sizes - width + 1
     first = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(texts)), windows)
+    text = np.repeat(np.arange(len(sizes)), windows)
     at = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + first[text]
-    group = np.asarray(groups, np.int64)[text]
+    group = groups[text]
     hashed = run_hashes(hashes, width)[at]
     order = np.lexsort((hashed, group))
     g, h, p = group[order], hashed[order], at[order]
@@ -154,14 +157,12 @@ def _minimisers(rows: DataFrame, width: int, mer: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = _Hashes()
+            sizes, numbers, hashes = _numbered(batch.column(2))
+            ends = np.cumsum(sizes)
             found, row = [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words = text.split()
-                if len(words) >= width:
-                    hashes = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-                    found.append(super_kmers(hashes, width, mer))
-                    row.append(np.full(len(found[-1][0]), i))
+            for i in np.flatnonzero(sizes >= width).tolist():
+                found.append(super_kmers(hashes[numbers[ends[i] - sizes[i] : ends[i]]], width, mer))
+                row.append(np.full(len(found[-1][0]), i))
             if found:
                 mini, start, n = (np.concatenate(x) for x in zip(*found))
                 at = pa.array(np.concatenate(row))
@@ -186,7 +187,8 @@ def _pack(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     the digest of its words.
     """
     kind = rows.schema["id"].dataType.simpleString()
-    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("mini", "start", "n", "hot")).alias("parts"))
+    # A set: equal rows name the same parts, and each row packs them once.
+    lists = wanted.groupBy("id", "th").agg(F.collect_set(F.struct("mini", "start", "n", "hot")).alias("parts"))
     joined = rows.join(
         lists.withColumnsRenamed({"id": "own", "th": "own_th"}),
         F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")),
@@ -229,8 +231,8 @@ def _bucket_repeats(packed: DataFrame, width: int) -> DataFrame:
     kind = packed.schema["id"].dataType.simpleString()
 
     def judged(table: pa.Table) -> pa.RecordBatch:
-        texts = [w.split(b" ") for w in table.column("data").to_pylist()]
-        flags = repeated_windows(texts, table.column("mini").to_pylist(), width)
+        data = pa.concat_arrays([c.cast(pa.large_binary()) for c in table.column("data").chunks])
+        flags = _repeated(*_numbered(data), table.column("mini").to_numpy(), width)
         row, start, n = [], [], []
         for i, f in enumerate(flags):
             if f.any():
@@ -275,7 +277,10 @@ def repeated_runs(rows: DataFrame, *, width: int, mer: int = MER, hot: int = HOT
     ``rows`` has (id, th, text binary). Runs may touch or overlap.
     """
     found = materialize(_minimisers(rows, width, mer), "substring-minimisers")
-    counts = found.groupBy("mini").agg(F.count("*").alias("copies")).filter("copies > 1")
+    # Written, so that the join is one of two plain shuffles: Spark splits a hot minimiser there.
+    counts = materialize(
+        found.groupBy("mini").agg(F.count("*").alias("copies")).filter("copies > 1"), "substring-counts"
+    )
     wanted = materialize(
         found.join(counts, "mini").select("mini", "id", "th", "start", "n", (F.col("copies") > hot).alias("hot")),
         "substring-wanted",
@@ -283,7 +288,8 @@ def repeated_runs(rows: DataFrame, *, width: int, mer: int = MER, hot: int = HOT
     packed = materialize(_pack(rows, wanted, width), "substring-packed")
     cold = _bucket_repeats(packed.filter(~F.col("hot")).select("mini", "id", "th", "start", "data"), width)
     windows = packed.filter("hot").select(F.col("data").alias("digest"), "id", "th", "start")
-    common = windows.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1").select("digest")
+    counted = windows.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
+    common = materialize(counted, "substring-common").select("digest")
     hot_runs = windows.join(common, "digest").select("id", "th", "start", F.lit(1).alias("n"))
     return cold.unionByName(hot_runs)
 

@@ -192,3 +192,16 @@ def test_shard_files(docs, workdir):
     read = docs.sparkSession.read.parquet(f"{workdir}/shards")
     assert by_row(read, "shard", "slot", "record.doc_id") == by_row(found, "shard", "slot", "record.doc_id")
     assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_substring_dedup_of_many_equal_rows(spark):
+    """Five thousand equal rows of one id pack their parts once each, not once for each other."""
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    rows = spark.createDataFrame([(1, text)] * 5000 + [(2, "other " * 3)], "doc_id long, text string").repartition(4)
+    texts = rows.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    found = substring_dedup._minimisers(texts, 35, substring_dedup.MER).withColumn("hot", F.lit(False))
+    parts = found.select("mini", "id", "th", "start", "n").distinct().count()
+    assert substring_dedup._pack(texts, found, 35).count() == 5000 * parts
+    kept = substring_dedup.dedup_substrings(rows).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, kept)) == [(1, 80, 5000), (2, 0, 1)]
