@@ -5,9 +5,11 @@ cut, but for forms and elements cut by class or id that wrap the page's main ele
 its articles, its h1 or most of its paragraphs' text. Each paragraph with some text passes points to its ancestors: one, one for each
 comma, and up to three for length, all of it to the parent, half to the next, less
 further up, discounted by the share of its text in links. The element with the most
-points, again discounted by its link density, is the container; it widens to the
-article or main element around it, and its siblings with enough points, plain
-paragraphs and headings are kept. Without such an element it widens to its parent, and on
+points, again discounted by its link density, is the container. It widens to the main
+element around it, of which all blocks that aren't half links are kept, or to the article
+around it: sibling articles, siblings with enough points, plain paragraphs and headings
+are kept then. In an article or main element a name cuts only if it is of boilerplate as a
+whole (``share-buttons``, not ``related-work``). Without such an element it widens to its parent, and on
 below the body as long as less than half of what it adds is links; what is added is each
 block, and each run of text between blocks, that isn't half links or more. Without any
 points the whole body is taken.
@@ -55,6 +57,11 @@ _CUT_NAMES = frozenset(
     " respond reply replies discussion responses toolbar pagination pager skip".split()
 )
 _TEXT_NAMES = frozenset("article content main body post entry story text".split())
+#: Parts beside which a name stays one of boilerplate.
+_PLAIN_NAMES = frozenset(
+    "area articles bar block box buttons container content group inner items left links list module news outer panel"
+    " posts right row section slot stories top bottom unit wrap wrapper".split()
+)
 _NEVER_TEXT = frozenset("comment comments commentlist disqus replies responses ad ads advert advertisement".split())
 _COMMENT_NAMES = _NEVER_TEXT - frozenset("ad ads advert advertisement".split())
 _ROOTS = frozenset(("html", "body", "main", "article"))
@@ -104,8 +111,11 @@ class Element:
         self.points = 0.0
 
 
-def boilerplate(tag: str, attributes: str) -> int:
-    """Why an element is cut, by its tag and attributes; 0 if it isn't."""
+def boilerplate(tag: str, attributes: str, inside: bool = False) -> int:
+    """Why an element is cut, by its tag and attributes; 0 if it isn't.
+
+    ``inside`` an article or main element only names that are of boilerplate as a whole count.
+    """
     if tag in _ROOTS:
         return 0
     if tag in _CUT and tag != "form":
@@ -120,7 +130,11 @@ def boilerplate(tag: str, attributes: str) -> int:
         return _GONE
     if found.get("role", "").lower() in _CUT_ROLES:
         return _GONE
-    names = {p.lower() for key in ("class", "id") for p in _NAME_PART.findall(found.get(key, ""))}
+    tokens = [t for key in ("class", "id") for t in found.get(key, "").split()]
+    parts = [{p.lower() for p in _NAME_PART.findall(t)} for t in tokens]
+    if inside:
+        parts = [p for p in parts if p & (_CUT_NAMES | _NEVER_TEXT) and p <= _CUT_NAMES | _NEVER_TEXT | _PLAIN_NAMES]
+    names = set().union(*parts)
     if names & _COMMENT_NAMES:
         return _COMMENTS
     if names & _NEVER_TEXT or names & _CUT_NAMES and not names & _TEXT_NAMES:
@@ -151,6 +165,8 @@ def parse(html: str) -> Element:
                 continue
             node = _make_room(node, name)
             why = _GONE if node.cut else boilerplate(name, token[3])
+            if why in (_NAMED, _COMMENTS) and _in_text(node):
+                why = boilerplate(name, token[3], True)
             inside = Element(name, node, why == _GONE)
             if why != _GONE:
                 node.children.append(inside)
@@ -173,6 +189,13 @@ def parse(html: str) -> Element:
     return root
 
 
+def _in_text(node: Element | None) -> bool:
+    """Whether an element is in an article or main element, or is one."""
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def _cut_named(root: Element, named: dict[Element, int], marks: list[Element]) -> None:
     """Cut forms and elements with names of boilerplate, but for those that wrap what the page is about.
 
@@ -312,22 +335,32 @@ def score(root: Element) -> Element | None:
 
 
 def _around(best: Element) -> Element:
-    """The outermost article, else the main element around the container, else itself."""
+    """The outermost main element around the container, else the outermost article, else itself."""
     article = main = None
     up: Element | None = best
     while up is not None:
         if up.tag == "article":
             article = up
         elif up.tag == "main":
-            main = main or up
+            main = up
         up = up.parent
-    return article or main or best
+    return main or article or best
+
+
+def _of_main(main: Element) -> list[Element]:
+    """The main element without its blocks that are half links or more."""
+    kept = Element(main.tag, None)
+    for child in main.children:
+        block = not isinstance(child, str) and child.tag in _BLOCK and child.tag not in _HEADINGS
+        if not block or child.tag == "article" or not _half_links([child]):
+            kept.children.append(child)
+    return [kept]
 
 
 def _kept_siblings(best: Element) -> list[Element]:
     if best.parent is None:
         return [best]
-    least = max(10.0, 0.2 * best.points * (1 - _density(best)))
+    least = 0.2 * best.points * (1 - _density(best))
     kept = []
     for child in best.parent.children:
         if isinstance(child, str):
@@ -335,7 +368,8 @@ def _kept_siblings(best: Element) -> list[Element]:
         density = _density(child)
         if (
             child is best
-            or child.points * (1 - density) >= least
+            or child.points and child.points * (1 - density) >= least
+            or child.tag == "article" and not _half_links([child])
             or child.tag in _HEADINGS
             or child.tag == "p" and (child.chars > 80 and density < 0.25 or child.chars and not child.linked)
         ):
@@ -380,7 +414,9 @@ def main_text(html: str) -> str:
     best = score(root)
     if best is None:
         kept = [root]
-    elif (around := _around(best)).tag in ("article", "main"):
+    elif (around := _around(best)).tag == "main":
+        kept = _of_main(around)
+    elif around.tag == "article":
         kept = _kept_siblings(around)
     else:
         kept = [_with_text_beside(best)]

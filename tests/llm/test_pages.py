@@ -146,3 +146,69 @@ def test_short_sections_beside_the_longest_are_kept():
     assert html_text.main_text(bare).splitlines()[11:] == ["Text of its own, bold and linked", "End now then."]
     nested = f"<body><div id=content><div>{long}{long}</div><div>{short}</div></div><div>Copyright of the page</div>"
     assert html_text.main_text(nested).splitlines()[22:] == ["A second section of two or three short lines only.", "x", "y"]
+
+
+P = "A paragraph of the article, long enough to count, with a comma and some more words in it."
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<article><p>{P}</p><p>{P}</p></article><article><p>Short second part.</p></article>", [P, P, "Short second part."]),
+    (f"<main><article><p>{P}</p></article><section>Short closing.</section></main>", [P, "Short closing."]),
+    (f"<article><p>{P}</p><section id='discussion-of-results'><p>Found.</p></section></article>", [P, "Found."]),
+    (f"<article><p>{P}</p><div class='related-work'><p>Others.</p></div></article>", [P, "Others."]),
+    (f"<article><p>{P}</p><div class='ad-free story'>No adverts.</div></article>", [P, "No adverts."]),
+    (f"<article><p>{P}</p><table class='menu-prices'><tr><td>Soup</td><td>3</td></tr></table></article>", [P, "Soup", "3"]),
+    (f"<article><p>{P}</p><div class='ad'>Buy.</div><div class='share-buttons'>Tell.</div></article>", [P]),
+    (f"<article><p>{P}</p><div id='comments'><p>First!</p></div></article>", [P]),
+    (f"<main><article><p>{P}</p></article><div><a href='/x'>Other page one</a> <a href='/y'>two</a></div></main>", [P]),
+    (f"<div class='ad'>Buy.</div><article><p>{P}</p></article><aside><p>{P}</p></aside>", [P]),
+])
+def test_text_of_articles(html, want):
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{html}<footer>All rights reserved, by us, always.</footer></body></html>"
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_given_pages_hold_exactly_their_article(spark):
+    """Every page of the tables against the text of its article by another parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside += 1
+            if tag == "br":
+                self.blocks[-1] += " "
+            elif tag not in ("b", "i", "em", "a", "span"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside -= 1
+            if tag not in ("b", "i", "em", "a", "span"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for row in pages.collect():
+        parser = Article()
+        parser.feed(row.html or "")
+        parser.close()
+        want = [" ".join(b.split()) for b in parser.blocks]
+        assert got[row.page_id] == "\n".join(b for b in want if b)
+
+
+def test_extraction_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, id int, n_chars string"
+    long = "<article>" + f"<p>{P}</p>" * 20000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, "t", 1, "n"), (2, None, None, "t", 1, "n"), (2, None, "", "t", 1, "n")], schema)
+    got = sorted((r.page_id, r.n_chars) for r in html_text.extract(pages).collect())
+    assert got == [(1, 20000 * (len(P) + 1) - 1), (2, 0), (2, 0)]
+    assert html_text.extract(pages.limit(0)).collect() == []
