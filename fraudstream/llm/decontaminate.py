@@ -6,15 +6,15 @@ passages and W a seeded Gaussian matrix, tasks sum Z = A'AW and C = (AW)'(AW) in
 pass, and the right singular vectors of A follow from Z and C alone (Nystrom). Vectors
 are folded in as usual, divided by the singular values.
 
-Benchmark items are the queries. Against every text they meet stretches of blocks of 8
-words, about twice as long as the item and one begun at each block. A stretch is a
-candidate if a window of the item's own length in it, begun at any word, has a cosine of
-``COSINE`` or more to the item, and if it shares enough words with the item to pass, as
-counted in columns: with repeats, and then each as often as the item has it. These
-counts never fall short of a common subsequence, so they lose nothing; they are cheaper
-and taken first. Candidates are checked by the longest common subsequence of the item's
-words and the stretch: it must hold 0.8 of the item, or 0.6 of it and 0.8 of the item's
-answer (a column of the benchmark, or else its last sentence).
+Benchmark items are the queries. Candidates come from the latent space: a window of the
+item's own length, to the nearest ``BLOCK`` words and begun at every block, whose cosine
+to the item is ``COSINE`` or more. What is near is then counted: the stretch of a window
+with two blocks and a quarter of it on either side must share enough words with the item to pass, as counted in
+columns: with repeats, and then each as often as the item has it. These counts never fall
+short of a common subsequence, so they lose nothing. The others are checked by the longest
+common subsequence of the item's words and the stretch: it must hold 0.8 of the item, or
+0.6 of it and 0.8 of the item's answer (a column of the benchmark, or else its last
+sentence).
 
 The latent space is fitted on all passages; its sums' size is fixed by the number of
 columns and dimensions. The benchmark goes through in blocks of ``BLOCK_ITEMS``.
@@ -45,10 +45,11 @@ from .common import builders, fold_blocks, plain
 #: Hashed columns, latent dimensions, and further ones of the sketch.
 DIMENSIONS, RANK, OVERSAMPLE = 16384, 64, 8
 #: Words of a passage that is fitted, and of a block that is searched.
-PASSAGE, BLOCK = 128, 8
-#: Low, as the counts reject nearly all stretches: of items whose words were changed by up
-#: to two fifths, 6% have no window at 0.5, and the lowest seen was 0.19 (sf0.1).
-COSINE = 0.1
+PASSAGE, BLOCK = 128, 4
+#: Of 600 items planted at random places with up to two fifths of their words changed, and
+#: that the last check accepts, all have a window of this cosine; at 0.3 two have none, at
+#: 0.35 five. It rejects some 96% of all pairs of a window and an item (sf0.1).
+COSINE = 0.27
 #: Shares of the item that must be found: alone, or with this share of its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 BLOCK_ITEMS = 2000
@@ -257,27 +258,43 @@ def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> i
     return n - row.bit_count()
 
 
-def wide_blocks(n: int) -> int:
-    """Blocks that hold ``n`` words wherever they begin: a power of two, or one and a half.
+def window_blocks(n: int) -> int:
+    """Blocks of the window for an item of ``n`` words: its length to the nearest block."""
+    return max(1, (n + BLOCK // 2) // BLOCK)
 
-    With a block before and behind, the stretch in which an item is looked for.
+
+def margin_blocks(wide: int) -> int:
+    """Blocks on either side of a window of ``wide`` blocks that are looked at with it.
+
+    One is for the neighbouring windows that a candidate stands for.
     """
-    need = 1 + -(-max(n - 1, 0) // BLOCK)
-    power = 1 << (need - 1).bit_length()
-    return power * 3 // 4 if need <= power * 3 // 4 and power >= 4 else power
+    return 2 + wide // 4
+
+
+def every_third(blocks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidates of one item at neighbouring blocks each third, so that all are or have a neighbour that is kept."""
+    order = np.lexsort((blocks, own))
+    blocks, own = blocks[order], own[order]
+    new = np.ones(len(blocks), bool)
+    new[1:] = (own[1:] != own[:-1]) | (blocks[1:] != blocks[:-1] + 1)
+    first = np.flatnonzero(new)
+    nth = np.arange(len(blocks)) - np.repeat(first, np.diff(np.append(first, len(blocks))))
+    last = np.append(new[1:], True)
+    kept = (nth % 3 == 1) | last & (nth % 3 == 0)
+    return blocks[kept], own[kept]
 
 
 class Searcher:
     """Finds a block of items in texts."""
 
     def __init__(self, items: list[Item], project: np.ndarray, cosine: float):
-        self.cosine = cosine
+        self.cosine = np.float32(cosine)
         self.dimensions = len(project)
         self.project = np.vstack([project, np.zeros((1, project.shape[1]), np.float32)])
         groups: dict[int, list[Item]] = {}
         for item in items:
             if item.words:
-                groups.setdefault(wide_blocks(len(item.words)) + 2, []).append(item)
+                groups.setdefault(window_blocks(len(item.words)), []).append(item)
         self.groups = []
         for wide, whole in sorted(groups.items()):
             for i in range(0, len(whole), _ITEMS):
@@ -285,12 +302,14 @@ class Searcher:
                 cols = [word_columns([b" ".join(i.words).decode()], self.dimensions)[0] for i in own]
                 times = np.stack([np.bincount(c, minlength=self.dimensions + 1) for c in cols])
                 vectors = np.stack([self.project[c].sum(axis=0) for c in cols])
-                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+                norms = np.linalg.norm(vectors, axis=1)
                 # The fewest words that make a share of LCS_WITH_ANSWER.
                 least = np.array([next(k for k in range(n + 1) if k / n >= LCS_WITH_ANSWER) for n in map(len, cols)])
-                holds = np.ascontiguousarray((times > 0).T.astype(np.uint8))
-                self.groups.append((wide, own, vectors / np.where(norms > 0, norms, 1), holds, times.astype(np.uint16 if times.max() < 1 << 16 else np.int64), least))
-        self.pad = max((g[0] for g in self.groups), default=1)
+                kind = np.uint16 if times.max() < 1 << 16 else np.int64
+                near = np.ascontiguousarray((vectors / np.where(norms > 0, norms, 1)[:, None]).T)
+                self.groups.append((wide, own, near, norms == 0, (times > 0).astype(np.uint8), times.astype(kind), least))
+        self.widest = max((g[0] for g in self.groups), default=1)
+        self.margin = margin_blocks(self.widest)
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, float, float]]]:
         """For each text its matches: item id, and the shares of item and answer found."""
@@ -298,64 +317,77 @@ class Searcher:
         if not self.groups:
             return out
         cols, counts = word_columns(texts, self.dimensions)
-        # Each text fills whole blocks, then empty ones, so that no stretch from its words reaches the next text.
-        sizes = (-(-counts // BLOCK) + self.pad) * BLOCK
-        starts = np.cumsum(sizes) - sizes
-        flat = np.full(int(sizes.sum()), self.dimensions, np.int32)
+        # Each text fills whole blocks, then empty ones, so that no stretch with its words
+        # reaches another text; empty ones stand before the first, too.
+        sizes = (-(-counts // BLOCK) + self.widest + self.margin) * BLOCK
+        starts = np.cumsum(sizes) - sizes + self.margin * BLOCK
+        flat = np.full(int(sizes.sum()) + self.margin * BLOCK, self.dimensions, np.int32)
         flat[np.arange(len(cols)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)] = cols
         text_of_block = np.repeat(np.arange(len(texts)), sizes // BLOCK)
         words: dict[int, list[bytes]] = {}  # of the texts that have candidates
-        for wide, items, vectors, holds, times, least in self.groups:
-            found: dict[tuple[int, int], list[int]] = {}
-            for b, k in self._sharing(flat, wide, holds, times, least):
-                if self._near(flat[b * BLOCK : (b + wide) * BLOCK], len(items[k].words), vectors[k]):
-                    found.setdefault((int(text_of_block[b]), k), []).append(b)
-            for (text, k), at in found.items():
-                if text not in words:
-                    words[text] = words_of(texts[text])
-                match = self._check(items[k], words[text], [b * BLOCK - int(starts[text]) for b in at], wide * BLOCK)
-                if match:
-                    out[text].append(match)
+        found: dict[tuple[int, int, int], list[int]] = {}
+        for g, blocks, own in self._near(flat):
+            for b, k in zip(*self._sharing(flat, g, blocks, own)):
+                found.setdefault((int(text_of_block[b - self.margin]), g, k), []).append(b)
+        for (text, g, k), at in found.items():
+            wide, items = self.groups[g][:2]
+            if text not in words:
+                words[text] = words_of(texts[text])
+            beside = margin_blocks(wide)
+            first = [(b - beside) * BLOCK - int(starts[text]) for b in at]
+            match = self._check(items[k], words[text], first, (wide + 2 * beside) * BLOCK)
+            if match:
+                out[text].append(match)
         return out
 
-    @staticmethod
-    def _sharing(flat, wide, holds, times, least) -> Iterator[tuple[int, int]]:
-        """The first block and the item of stretches of ``wide`` blocks that share enough words with the item."""
-        n = len(flat) // BLOCK - wide + 1
-        step = max(_CHUNK // BLOCK, wide)
-        # Differences of sums are right though the sums run over.
-        kind = np.uint16 if wide * BLOCK < 1 << 16 else np.uint32
-        need = least.astype(kind)
-        for i in range(0, n, step):
+    def _near(self, flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each group of items, the first blocks of windows and the items whose cosine is enough."""
+        n = len(flat) // BLOCK
+        step = _CHUNK // BLOCK
+        for i in range(self.margin, n, step):
             m = min(step, n - i)
-            part = holds[flat[i * BLOCK : (i + m + wide - 1) * BLOCK]].reshape(-1, BLOCK, holds.shape[1])
-            while part.shape[1] > 1:  # halves are added faster than one by one
-                part = part[:, : part.shape[1] // 2] + part[:, part.shape[1] // 2 :]
-            sums = np.zeros((m + wide, holds.shape[1]), kind)
-            np.cumsum(part[:, 0], axis=0, dtype=kind, out=sums[1:])
-            at, item = (sums[wide:] - sums[:-wide] >= need).nonzero()
-            own = max(1, (_CHUNK << 2) // (wide * BLOCK))
-            for j in range(0, len(at), own):
-                a, t = at[j : j + own] + i, item[j : j + own]
-                near = np.sort(flat[a[:, None] * BLOCK + np.arange(wide * BLOCK)], axis=1)
-                # Of equal columns, the first as many as the item has.
-                place = np.arange(near.shape[1])
-                first = np.zeros(near.shape, np.int64)
-                first[:, 1:] = np.where(near[:, 1:] != near[:, :-1], place[1:], 0)
-                np.maximum.accumulate(first, axis=1, out=first)
-                shared = (place - first < times[t[:, None], near]).sum(axis=1)
-                enough = shared >= least[t]
-                yield from zip(a[enough].tolist(), t[enough].tolist())
-
-    def _near(self, columns: np.ndarray, n: int, vector: np.ndarray) -> bool:
-        """Whether a window of ``n`` words has the cosine; an item without a vector is near to all."""
-        if not vector.any():
-            return True
-        sums = np.zeros((len(columns) + 1, len(vector)))
-        np.cumsum(self.project[columns], axis=0, dtype=np.float64, out=sums[1:])
-        windows = sums[n:] - sums[:-n]
-        norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
-        return bool((windows @ vector >= np.where(norms > 0, self.cosine * norms, np.inf)).any())
+            part = flat[i * BLOCK : (i + m + self.widest) * BLOCK]
+            blocks = self.project[part].reshape(-1, BLOCK, self.project.shape[1])
+            while blocks.shape[1] > 1:  # halves are added faster than one by one
+                blocks = blocks[:, : blocks.shape[1] // 2] + blocks[:, blocks.shape[1] // 2 :]
+            sums = np.zeros((len(blocks) + 1, self.project.shape[1]), np.float32)
+            np.cumsum(blocks[:, 0], axis=0, out=sums[1:])
+            for g, (wide, _, near, unknown, *_rest) in enumerate(self.groups):
+                w = min(m, len(sums) - wide)
+                if w <= 0:
+                    continue
+                windows = sums[wide : wide + w] - sums[:w]
+                norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+                enough = np.where(norms > 1e-6, self.cosine * norms, np.float32(np.inf))
+                hit = windows @ near >= enough[:, None]
+                if unknown.any():  # an item whose words the corpus lacks has no vector: it is near to all
+                    hit |= unknown
+                at = np.flatnonzero(hit)
+                if len(at):
+                    yield g, *every_third(at // len(unknown) + i, at % len(unknown))
+
+    def _sharing(self, flat: np.ndarray, g: int, blocks: np.ndarray, own: np.ndarray) -> tuple[list[int], list[int]]:
+        """The candidates whose stretch shares enough words with the item."""
+        wide, _, _, _, holds, times, least = self.groups[g]
+        beside = margin_blocks(wide)
+        span = np.arange(-beside * BLOCK, (wide + beside) * BLOCK)
+        kept_at, kept_item = [], []
+        some = max(1, (_CHUNK << 3) // len(span))
+        for j in range(0, len(blocks), some):
+            a, t = blocks[j : j + some], own[j : j + some]
+            near = flat[np.minimum(a[:, None] * BLOCK + span, len(flat) - 1)]
+            held = np.take(holds.ravel(), t[:, None] * holds.shape[1] + near)
+            enough = held.sum(axis=1, dtype=np.uint16 if len(span) < 1 << 16 else np.int64) >= least[t]
+            a, t, near = a[enough], t[enough], np.sort(near[enough], axis=1)
+            # Of equal columns, the first as many as the item has.
+            place = np.arange(near.shape[1])
+            first = np.zeros(near.shape, np.int64)
+            first[:, 1:] = np.where(near[:, 1:] != near[:, :-1], place[1:], 0)
+            np.maximum.accumulate(first, axis=1, out=first)
+            enough = (place - first < times[t[:, None], near]).sum(axis=1) >= least[t]
+            kept_at += a[enough].tolist()
+            kept_item += t[enough].tolist()
+        return kept_at, kept_item
 
     @staticmethod
     def _check(item: Item, words: list[bytes], starts: list[int], width: int) -> tuple | None:
@@ -363,7 +395,7 @@ class Searcher:
         best = None
         n, m = len(item.words), len(item.answer)
         for start in starts:
-            near = words[start : start + width]
+            near = words[max(0, start) : max(0, start + width)]
             share = common_subsequence(item.masks, n, near) / n
             if share < LCS_WITH_ANSWER:
                 continue

@@ -90,7 +90,9 @@ def test_common_subsequence():
     words = "a b c a b d".split()
     item = [w.encode() for w in words]
     assert d.common_subsequence(d._masks(item), 6, [b"b", b"x", b"a", b"b", b"a", b"d"]) == 4
-    assert [d.wide_blocks(n) for n in (1, 2, 9, 10, 16, 17, 18, 33, 34, 58)] == [1, 2, 2, 3, 3, 3, 4, 6, 6, 12]
+    assert [d.window_blocks(n) for n in (1, 4, 11, 12, 16, 19, 20, 58)] == [1, 1, 3, 3, 4, 5, 5, 15]
+    at, own = d.every_third(np.array([5, 6, 7, 8, 1, 9, 2]), np.array([0, 0, 0, 0, 1, 1, 1]))
+    assert list(zip(own.tolist(), at.tolist())) == [(0, 6), (0, 8), (1, 2), (1, 9)]
 
 
 def test_pipeline_runs_its_stages(spark, tmp_path):
@@ -120,7 +122,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     numbers = {int(name[2:].split("_")[0]) for name in entry.queries() if name.startswith("op") and name[2].isdigit()}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_word_columns_agree_with_words_one_by_one():
