@@ -298,7 +298,7 @@ REQUEST_AS_OF = 1_000_000_000
 
 @query(
     "request_events",
-    ops=("P10", "P11", "E3"),
+    ops=("P10", "P11"),
     sql=with_base(
         dictionary_cte("train")
         + """,

@@ -12,22 +12,28 @@ from fraudstream.plans.registry import registry  # noqa: E402
 IMPL = {
     "S1": "sources/replay.read_raw_transactions", "S2": "sources/replay.load_model_dataset",
     "S3": "sources/replay.write_preprocessed, operators/preprocess", "S4": "streaming/job.kafka_options, kafka_source, file_source",
-    "S5": "sources/replay.replay_messages", "S6": "replay_messages(max_records=); maxFilesPerTrigger / maxOffsetsPerTrigger",
-    "S7": "streaming/job.write_batch (dead_letter table with reasons)", "S8": "streaming/job.start, write_batch",
-    "S9": "operators/results.write_results (dynamic overwrite per batch)", "S10": "operators/trace.scored_stage_rows, live",
-    "S11": "operators/model.save, load", "S12": "operators/encoders.save_dictionary, load_dictionary",
-    "S13": "operators/dashboard.holdout_snapshot", "S14": "subsumed by S4 + M6 + S9 (the stream job)",
+    "S5": "sources/replay.replay_messages, streaming/messages.publish", "S6": "replay_messages(max_records=); maxFilesPerTrigger / maxOffsetsPerTrigger",
+    "S7": "streaming/messages.start_dead_letters, start_pair; streaming/job.write_batch (table)", "S8": "streaming/job.start, write_batch",
+    "S9": "operators/results.write_results, operators/tiered.Table", "S10": "operators/trace.scored_stage_rows, live; streaming/trace_state",
+    "S11": "operators/model.save, load; streaming/versions", "S12": "operators/encoders.save_dictionary, load_dictionary",
+    "S13": "operators/export", "S14": "subsumed by S4 + M6 + S9 (the stream job)",
     "P1": "functions/contract.validate_columns", "P12": "operators/preprocess.drop_for_modelling",
-    "T7": "operators/results.clustered (range partition + sort)", "E10": "operators/sampling.random_split",
+    "T1": "operators/recent.RecentReader", "T2": "operators/recent.RecentReader", "T4": "operators/dashboard.preset_candidates",
+    "E2": "operators/lookup.add_codes", "J1": "operators/lookup.add_codes", "E5": "operators/sampling.quota_cuts",
+    "E9": "operators/sampling.quota_cuts", "E11": "operators/sampling.exact_quantile_disc", "ST6": "streaming/aggregates, streaming/late",
+    "ST7": "streaming/aggregates, streaming/late", "A12": "operators/trace.rollup, streaming/trace_state",
+    "M6": "operators/model.score, streaming/versions", "T7": "operators/results.clustered (range partition + sort)", "E10": "operators/sampling.random_split",
 }
 TESTS = {
     "S1": "test_preprocess", "S3": "test_preprocess", "S12": "test_encoders", "P1": "test_contract",
-    "P12": "test_preprocess", "T7": "test_results", "ST5": "test_streaming", "S9": "test_results, test_streaming",
-    "S4": "test_streaming", "M2": "test_model", "M7": "test_model", "S11": "test_model", "F6": "test_functions",
-    "F4": "test_functions", "F5": "test_functions", "A12": "test_dashboard", "A1": "test_dashboard",
-    "P10": "test_contract", "P3": "test_contract", "E5": "test_sampling", "E9": "test_sampling", "E11": "test_sampling",
-    "E12": "test_sampling", "A11": "test_metrics", "A8": "test_metrics", "E1": "test_encoders", "E2": "test_encoders",
-    "ST6": "test_streaming", "ST7": "test_streaming", "M6": "test_model", "A13": "test_results",
+    "P12": "test_preprocess", "T7": "test_results", "ST5": "test_streaming", "S9": "test_results, test_streaming, test_tables",
+    "S5": "test_state_streams", "S7": "test_state_streams", "ST1": "test_state_streams", "S10": "test_state_streams",
+    "T1": "test_tables", "T2": "test_tables", "T4": "test_tables", "J1": "test_tables", "S4": "test_streaming", "M2": "test_model", "M7": "test_model", "S11": "test_model, test_state_streams", "F6": "test_functions",
+    "F4": "test_functions", "F5": "test_functions", "A12": "test_dashboard, test_state_streams", "A1": "test_dashboard",
+    "P10": "test_contract", "P3": "test_contract", "E5": "test_sampling, test_tables", "E9": "test_sampling, test_tables", "E11": "test_sampling, test_tables",
+    "E12": "test_sampling", "A11": "test_metrics", "A8": "test_metrics", "E1": "test_encoders", "E2": "test_encoders, test_tables",
+    "ST6": "test_streaming, test_state_streams", "ST7": "test_streaming, test_state_streams",
+    "M6": "test_model, test_state_streams", "A13": "test_results, test_tables",
 }
 
 
