@@ -2,6 +2,16 @@
 
 Every stage takes all rows that the one before it kept, is written as Parquet, and is
 read again as the next one's documents.
+
+Defined results: a null, empty or wordless text has too few words for the quality rules,
+which reject it; the later stages keep it, as it holds no long line, no benchmark item and
+no tokens, and near-dedup takes all such texts as copies of one another (fingerprint zero).
+Texts are judged whole, however long. Repeated rows of one id: line dedup treats them as
+one document, near-dedup folds those of the id that stays, the other stages judge each.
+Rows without an id keep their lines and aren't folded. Of ties in near-dedup the smallest
+doc_id stays, in line dedup the largest keeps the line. An empty table gives an empty
+result at each stage. Other columns pass through all stages but the last, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -24,10 +34,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that three or more of them share, but for one copy.
 
-    ``n_chars`` is counted again. Rows of one doc_id lose the same lines.
+    ``n_chars``, where there is such a column, is counted again. Rows of one doc_id lose
+    the same lines.
     """
     tune(spark)
-    return line_dedup.replace_text(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    kept = line_dedup.replace_text(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
