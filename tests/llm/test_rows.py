@@ -205,3 +205,42 @@ def test_substring_dedup_of_many_equal_rows(spark):
     assert substring_dedup._pack(texts, found, 35).count() == 5000 * parts
     kept = substring_dedup.dedup_substrings(rows).groupBy("doc_id", "n_removed").count().collect()
     assert sorted(map(tuple, kept)) == [(1, 80, 5000), (2, 0, 1)]
+
+
+def test_shards_equal_a_plain_two_pass_shuffle(spark, monkeypatch):
+    """Every record's place by the seeded hashes, buckets and starts, with buckets that share partitions."""
+    monkeypatch.setattr(sharding, "PARTITIONS", 3)
+    monkeypatch.setattr(sharding, "GROUP", 2)
+    rows = spark.range(500).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"),
+        F.create_map(F.lit("k"), F.col("id")).alias("tags"),
+    ).coalesce(1)
+    n = sharding.bucket_count(rows, text_col="text", bucket_bytes=5000)
+    assert n > 6
+    found = sharding.shard(rows, shards=7, bucket_bytes=5000)
+    got = sorted((r.shard, r.slot, r.doc_id, r.tags) for r in found.select("shard", "slot", "record.doc_id", "record.tags").collect())
+    written = sharding.external_shuffle(rows, bucket_bytes=5000).select("bucket", "at", "record.doc_id").collect()
+    places = {r.id: r.h for r in spark.range(500).select("id", F.xxhash64(F.lit(17), F.col("id")).alias("h")).collect()}
+    assert all(r.bucket == places[r.doc_id] % n for r in written)
+    order = [r.doc_id for r in sorted(written, key=lambda r: (r.bucket, r.at))]
+    want = []
+    for place, doc in enumerate(order):
+        s = place * 7 // 500
+        want.append((s, place - -(-s * 500 // 7), doc, {"k": doc}))
+    assert got == want
+    assert [r.doc_id for r in sorted(written, key=lambda r: (r.bucket, r.at))] != sorted(order, key=lambda d: (places[d] % n, places[d]))
+
+
+def test_op5_columns(spark):
+    from fraudstream.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op5_sharding(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    counts = Counter(r.shard for r in got)
+    assert sorted(counts) == list(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    assert {(r.shard, r.slot) for r in got} == {(s, i) for s, m in counts.items() for i in range(m)}
