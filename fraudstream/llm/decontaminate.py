@@ -273,10 +273,10 @@ def margin_blocks(wide: int) -> int:
 
 def every_third(blocks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of candidates of one item at neighbouring blocks each third, so that all are or have a neighbour that is kept."""
-    order = np.lexsort((blocks, own))
-    blocks, own = blocks[order], own[order]
-    new = np.ones(len(blocks), bool)
-    new[1:] = (own[1:] != own[:-1]) | (blocks[1:] != blocks[:-1] + 1)
+    keys = np.sort(own.astype(np.int64) << 40 | blocks)  # neighbours of one item differ by one
+    own, blocks = keys >> 40, keys & (1 << 40) - 1
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1] + 1
     first = np.flatnonzero(new)
     nth = np.arange(len(blocks)) - np.repeat(first, np.diff(np.append(first, len(blocks))))
     last = np.append(new[1:], True)
@@ -347,7 +347,7 @@ class Searcher:
         for i in range(self.margin, n, step):
             m = min(step, n - i)
             part = flat[i * BLOCK : (i + m + self.widest) * BLOCK]
-            blocks = self.project[part].reshape(-1, BLOCK, self.project.shape[1])
+            blocks = np.take(self.project, part, axis=0).reshape(-1, BLOCK, self.project.shape[1])
             while blocks.shape[1] > 1:  # halves are added faster than one by one
                 blocks = blocks[:, : blocks.shape[1] // 2] + blocks[:, blocks.shape[1] // 2 :]
             sums = np.zeros((len(blocks) + 1, self.project.shape[1]), np.float32)
@@ -364,7 +364,8 @@ class Searcher:
                     hit |= unknown
                 at = np.flatnonzero(hit)
                 if len(at):
-                    yield g, *every_third(at // len(unknown) + i, at % len(unknown))
+                    block, item = np.divmod(at, len(unknown))
+                    yield g, *every_third(block + i, item)
 
     def _sharing(self, flat: np.ndarray, g: int, blocks: np.ndarray, own: np.ndarray) -> tuple[list[int], list[int]]:
         """The candidates whose stretch shares enough words with the item."""
