@@ -32,6 +32,8 @@ from .common import plain
 
 #: Entries of a worker's cache, dropped when full.
 CACHE = 500_000
+#: Characters of text that are split and encoded at a time.
+PART = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -169,7 +171,24 @@ class ByteBPE:
                 self.cache[piece] = merge_pairs(key, self.ranks)
 
     def encode_flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids one after the other, and where each text's end."""
+        """All texts' ids one after the other, and where each text's end.
+
+        Texts are split some ``PART`` characters at a time, whole ones, as their
+        pre-tokens take many times their size.
+        """
+        found, ends, first, size, total = [], [], 0, 0, 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= PART or i == len(texts):
+                ids, last = self._part(texts[first:i])
+                found.append(ids)
+                ends.append(last + total)
+                first, size, total = i, 0, total + len(ids)
+        if not found:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.concatenate(found), np.concatenate(ends)
+
+    def _part(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.split(text) for text in texts]
         pieces = set().union(*map(set, split)) if split else set()
         new = pieces.difference(self.cache)
