@@ -2,8 +2,7 @@
 
 First pass: each record goes to a bucket by a seeded hash of its place in the input, so
 buckets are even whatever the records hold, and there are so many that one fits in a
-task's memory. Up to ``PARTITIONS`` of them each have a shuffle partition; more share
-these evenly, and a task takes its buckets one after the other. Second pass: each bucket is brought into an array, shuffled in place
+task's memory; they share at most ``PARTITIONS`` shuffle partitions. Second pass: each bucket is brought into an array, shuffled in place
 (Spark's ``shuffle`` is a seeded Fisher-Yates shuffle) and written. The buckets, one
 after the other, are one random order of all records; its shards are equal runs, so
 their row counts differ by one at most.
@@ -48,9 +47,7 @@ def external_shuffle(
     numbered = docs.select(record, F.monotonically_increasing_id().alias("id"))
     place = numbered.withColumn("place", F.xxhash64(F.lit(seed), "id"))
     tasks = min(n, PARTITIONS)
-    scattered = place.withColumn("bucket", F.pmod("place", F.lit(n)).cast("int")).repartitionById(
-        tasks, F.pmod("bucket", F.lit(tasks)).cast("int")
-    )
+    scattered = place.withColumn("bucket", F.pmod("place", F.lit(n)).cast("int")).repartition(tasks, "bucket")
     ordered = F.array_sort(F.collect_list(F.struct("place", "id", "record")), _by_place)
     gathered = scattered.groupBy("bucket").agg(ordered.alias("records")).sortWithinPartitions("bucket")
     shuffled = gathered.select("bucket", F.shuffle("records", seed).alias("records"))
