@@ -108,3 +108,32 @@ def test_batch_without_valid_rows_and_unstorable_amounts(spark, workdir):
     assert dead.filter("batch_id = 0").count() == 12  # every rejected delivery, copies too
     assert dead.filter("key = 'huge'").first().reasons == ["out_of_range:amt"]
     assert spark.read.parquet(f"{out}/transactions_by_day").count() == 3
+
+
+def test_each_text_is_parsed_once(spark):
+    # a filter or column on what was parsed must not put the parser into the plan again
+    rows = spark.createDataFrame([("a", json.dumps(VALID), dt.datetime(2024, 1, 2)), ("b", None, None)],
+                                 "key string, value string, timestamp timestamp")
+    ok = job.checked(rows).filter(F.size("reasons") == 0).select("transaction.*", "timestamp")
+    plan = ok._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert ok.count() == 1 and job.checked(rows).count() == 2
+
+
+def test_copies_are_folded_by_their_digest(spark, workdir):
+    rows = spark.createDataFrame([(i, json.dumps(dict(VALID, trans_num=f"s-{i}")), dt.datetime(2024, 1, 2)) for i in range(40)],
+                                 "key string, value string, timestamp timestamp")
+    spaced = rows.withColumn("value", F.concat("value", F.lit(" ")))  # other texts, hence other records
+    job.write_batch(rows.union(rows).union(spaced), 0, out_dir=workdir, scorer=job.rule_scorer(), model_version="rule-v1")
+    assert spark.read.parquet(f"{workdir}/transactions_by_day").count() == 80
+    assert spark.read.parquet(f"{workdir}/pipeline_trace").count() == 160
+
+
+def test_deliveries_are_written_once(spark, workdir):
+    from fraudstream.plans.stream_queries import deliver
+
+    seen = []
+    rows = spark.range(30).withColumn("delivery", F.when(F.col("id") < 10, 0).otherwise(2))
+    deliver(spark, rows, range(3), workdir, lambda: seen.append(spark.read.schema("id long").parquet(f"{workdir}/input").count()))
+    assert seen == [10, 10, 30]
+    assert spark.read.schema("id long").parquet(f"{workdir}/input-all").count() == 0
