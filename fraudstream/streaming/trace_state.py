@@ -14,12 +14,10 @@ newest batch of a transaction, which equals the batch rollup over the live trace
 from __future__ import annotations
 
 import json
-import warnings
 from collections.abc import Iterator
-from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,6 +29,8 @@ from ..schemas import FINAL_STAGE
 EXPIRED = "expired"
 #: What the last stage row tells about the decision.
 DECISION = ("amt", "merchant", "category", "is_fraud_prediction", "fraud_probability", "model_version")
+#: Cells of a stage row that are the state's, beside its key.
+CELLS = ("occurred_us", "stage", *DECISION)
 OUTPUT = (
     "trans_num string, started_us long, stages long, last_stage string, status string, completed_us long, "
     "latency_ms long, amt decimal(18,2), merchant string, category string, is_fraud_prediction int, "
@@ -38,13 +38,10 @@ OUTPUT = (
 )
 
 
-def _plain(value):
-    """A cell as JSON can hold it; pandas marks nulls in several ways."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
-        return None
-    if isinstance(value, Decimal):
-        return str(value)
-    return value.item() if hasattr(value, "item") else value
+def _cells() -> Column:
+    """A stage row's cells as JSON; the amount as text, so that it stays exact."""
+    cells = [F.col(c).cast("string").alias(c) if c == "amt" else F.col(c) for c in ("stage", *DECISION)]
+    return F.to_json(F.struct(F.unix_micros("occurred_at").alias("at"), *cells), {"ignoreNullFields": "false"})
 
 
 def _told(trans_num: str, rows: dict[tuple[int, str], list]) -> dict:
@@ -55,10 +52,7 @@ def _told(trans_num: str, rows: dict[tuple[int, str], list]) -> dict:
     (first, _), (last, stage) = min(rows), max(rows)
     out |= {"started_us": first, "last_stage": stage, "status": "processing"}
     if stage == FINAL_STAGE:
-        decision = dict(zip(DECISION, rows[last, stage]))
-        if decision["amt"] is not None:
-            decision["amt"] = Decimal(decision["amt"])
-        out |= decision | {
+        out |= dict(zip(DECISION, rows[last, stage])) | {
             "status": "complete", "completed_us": last, "latency_ms": round((last - first) / 1000),
         }
     return out
@@ -68,14 +62,13 @@ def track(trace: DataFrame, *, ttl_seconds: int = TRACE_TTL_SECONDS) -> DataFram
     """Rollup rows of every transaction whose state changes, from a stream of stage rows."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Spark joins the told rows of a batch; pandas warns of columns that are null in all of them.
-        warnings.simplefilter("ignore", FutureWarning)
+        # One text column in and one out: the cost of a call is that of its pandas columns.
         rows = {}
         if state.exists:
             rows = {(at, stage): cells for at, stage, cells in json.loads(state.get[0])}
         for frame in frames:
-            for at, stage, *cells in frame[["occurred_us", "stage", *DECISION]].itertuples(index=False):
-                rows[int(at), stage] = [_plain(c) for c in cells]
+            for row in map(json.loads, frame["cells"]):
+                rows[row["at"], row["stage"]] = [None if row[c] == "NaN" and c == "fraud_probability" else row[c] for c in DECISION]
         oldest = state.getCurrentWatermarkMs() + 1
         rows = {k: v for k, v in rows.items() if k[0] // 1000 >= oldest}
         if rows:
@@ -84,17 +77,16 @@ def track(trace: DataFrame, *, ttl_seconds: int = TRACE_TTL_SECONDS) -> DataFram
             state.setTimeoutTimestamp(max(min(rows)[0] // 1000 - 1, 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([_told(key[0], rows)]).astype({
-            c: "Int64" for c in ("started_us", "stages", "completed_us", "latency_ms", "is_fraud_prediction")
-        })
+        yield pd.DataFrame({"told": [json.dumps(_told(key[0], rows))]})
 
     # One millisecond more than the time to live: a row exactly that old is still live.
-    timed = trace.withColumn("occurred_us", F.unix_micros("occurred_at")).withWatermark(
-        "occurred_at", f"{ttl_seconds * 1000 + 1} milliseconds"
+    timed = trace.withWatermark("occurred_at", f"{ttl_seconds * 1000 + 1} milliseconds").select(
+        "trans_num", "occurred_at", _cells().alias("cells")
     )
-    return timed.groupBy("trans_num").applyInPandasWithState(
-        update, OUTPUT, "rows string", "update", GroupStateTimeout.EventTimeTimeout
+    told = timed.groupBy("trans_num").applyInPandasWithState(
+        update, "told string", "rows string", "update", GroupStateTimeout.EventTimeTimeout
     )
+    return told.select(F.from_json("told", OUTPUT).alias("t")).select("t.*")
 
 
 def start(trace: DataFrame, *, out_dir: str, checkpoint: str, available_now: bool = True, **options) -> StreamingQuery:
