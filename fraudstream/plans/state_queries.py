@@ -207,9 +207,13 @@ def q_stream_trace_state(spark, sf_dir):
     trace = trace_from_events(spark, sf_dir)
     rows = trace.withColumn("delivery", F.pmod(F.xxhash64("trans_num", "stage"), F.lit(3)).cast("int"))
 
+    parts = trace_state.state_partitions(spark, read_events(spark, sf_dir).count())
+
     def follow():
         stream = spark.readStream.schema(trace.schema).parquet(f"{run}/input")
-        trace_state.start(stream, out_dir=f"{run}/out", checkpoint=f"{run}/checkpoint").awaitTermination()
+        trace_state.start(
+            stream, out_dir=f"{run}/out", checkpoint=f"{run}/checkpoint", partitions=parts
+        ).awaitTermination()
 
     deliver(spark, rows, range(3), run, follow)
     told = trace_state.read_status(spark, f"{run}/out")

@@ -27,6 +27,8 @@ from ..operators.trace import TRACE_TTL_SECONDS
 from ..schemas import FINAL_STAGE
 
 EXPIRED = "expired"
+#: Transactions of one part of the state, as :func:`state_partitions` sizes it.
+PART_KEYS = 100_000
 #: What the last stage row tells about the decision.
 DECISION = ("amt", "merchant", "category", "is_fraud_prediction", "fraud_probability", "model_version")
 #: Cells of a stage row that are the state's, beside its key.
@@ -89,8 +91,25 @@ def track(trace: DataFrame, *, ttl_seconds: int = TRACE_TTL_SECONDS) -> DataFram
     return told.select(F.from_json("told", OUTPUT).alias("t")).select("t.*")
 
 
-def start(trace: DataFrame, *, out_dir: str, checkpoint: str, available_now: bool = True, **options) -> StreamingQuery:
-    """Write the told rows, a folder for each batch, which a retry of the batch overwrites."""
+def state_partitions(spark: SparkSession, transactions: int) -> int:
+    """Parts of the state: two a core, more where a part would hold over ``PART_KEYS`` transactions."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-transactions // PART_KEYS))
+
+
+def start(
+    trace: DataFrame,
+    *,
+    out_dir: str,
+    checkpoint: str,
+    available_now: bool = True,
+    partitions: int | None = None,
+    **options,
+) -> StreamingQuery:
+    """Write the told rows, a folder for each batch, which a retry of the batch overwrites.
+
+    ``partitions`` (the session's shuffle partitions if none) is fixed by the checkpoint's
+    first batch; each part starts a task and commits its state in every batch.
+    """
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
@@ -103,7 +122,14 @@ def start(trace: DataFrame, *, out_dir: str, checkpoint: str, available_now: boo
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
     )
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")
+    conf, name = trace.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, str(partitions or before))
+    try:  # the query takes the session's settings of its start
+        return writer.start()
+    finally:
+        conf.set(name, before)
 
 
 def read_status(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -26,3 +26,19 @@ def test_odd_cells_come_through(spark, workdir):
     assert (row.trans_num, row.status, row.amt, row.merchant, row.category) == (
         'a"\\b', "complete", "1234567890123456.78", "NaN", None)
     assert row.fraud_probability is None and row.is_fraud_prediction == 1 and row.stages == 1
+
+
+def test_state_has_the_parts_it_is_given(spark, workdir):
+    import os
+
+    from fraudstream.streaming.trace_state import PART_KEYS, state_partitions
+
+    spark.createDataFrame([], ROW).write.parquet(f"{workdir}/in")
+    spark.sql("SELECT 'a' trans_num, timestamp'2024-01-01' occurred_at, 'X' stage").write.parquet(f"{workdir}/in", mode="append")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    stream = spark.readStream.schema(ROW).parquet(f"{workdir}/in")
+    trace_state.start(stream, out_dir=f"{workdir}/out", checkpoint=f"{workdir}/ck", partitions=3).awaitTermination()
+    assert sorted(p for p in os.listdir(f"{workdir}/ck/state/0") if p.isdigit()) == ["0", "1", "2"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert state_partitions(spark, 0) == 2 * spark.sparkContext.defaultParallelism
+    assert state_partitions(spark, 1000 * PART_KEYS + 1) == 1001
