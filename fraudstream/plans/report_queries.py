@@ -16,7 +16,7 @@ from ..schemas import CATEGORICAL_COLUMNS, CLEANING_DROP_COLUMNS, LABEL_COLUMNS
 from ..session import run_dir
 from ..sources import fixture
 from ..sources.events import encoded_transactions, read_events, trace_from_events, train_dictionary
-from .model_queries import trained
+from .model_queries import holdout, trained
 from .ops_queries import _RES_SQL, _TRACE_SQL, PRESET_AS_OF
 from .oracle import HOLDOUT_PREDICATE_SQL, KM_SQL, with_base, with_encoding
 from .registry import query
@@ -239,7 +239,7 @@ def q_forest_presets(spark, sf_dir):
     A preset is one of its class's candidates, and no candidate is safer or riskier.
     """
     fitted, _ = trained(spark, sf_dir)
-    hold = fixture.holdout_split(encoded_transactions(spark, sf_dir))
+    hold = holdout(spark, sf_dir)
     scored = model.score(fitted, _retimed(dashboard.preset_candidates(hold)))
     path = run_dir(spark, "runs/candidates")
     columns = ("trans_num", "is_fraud", "is_fraud_prediction", "fraud_probability")
@@ -335,7 +335,7 @@ def q_forest_properties(spark, sf_dir):
     model.save(fitted, path)
     again = model.load(path)
     threshold = report["applied_threshold"]
-    hold = fixture.holdout_split(encoded_transactions(spark, sf_dir))
+    hold = holdout(spark, sf_dir)
     n = len(model.NUMERIC_MODEL_FEATURES)
     own = F.array(*[F.col(c).cast("double") for c in model.NUMERIC_MODEL_FEATURES])
     vectors = F.concat(*[vector_to_array(f"{c}_vector") for c in LABEL_COLUMNS])
