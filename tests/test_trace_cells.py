@@ -42,3 +42,18 @@ def test_state_has_the_parts_it_is_given(spark, workdir):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert state_partitions(spark, 0) == 2 * spark.sparkContext.defaultParallelism
     assert state_partitions(spark, 1000 * PART_KEYS + 1) == 1001
+
+def test_stage_rows_are_made_in_small_tasks(spark, workdir, monkeypatch):
+    """A task made and sorted the stage rows of a whole split of the events."""
+    from fraudstream.sources import events
+
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    row = "timestamp_ntz'2024-01-01 00:00:00', id % 3, if(id % 2 = 0, 'error', 'view'), 5.0D, '{}'"
+    spark.sql(f"SELECT if(id = 7, null, id), {row} FROM range(1000) UNION ALL SELECT 5, {row} FROM range(2)").toDF(
+        *[c.split()[0] for c in schema.split(", ")]
+    ).coalesce(1).write.parquet(f"{workdir}/events.parquet")
+    whole = events.trace_from_events(spark, workdir)
+    monkeypatch.setattr(events, "TASK_EVENTS", 20)
+    small = events.trace_from_events(spark, workdir)
+    assert small.rdd.getNumPartitions() == 51
+    assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))
