@@ -57,10 +57,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, and the number and digest of them and of the bytes they decode to."""
+    """Each document's token ids, and the number and digest of them and of the bytes they decode to.
+
+    The ids are written before they are decoded: chained, each task would hold two Python
+    workers with a vocabulary, beside those that the stages before have left idle.
+    """
     tune(spark)
     ranks = public_tokenizers.path(BYTE_BPE)
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    encoded = materialize(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), "pipeline-ids")
     return byte_bpe.decode(encoded, ranks).select(
         "doc_id",
         "ids",

@@ -73,3 +73,9 @@ def test_encoding_equals_the_library(spark, odd):
 def test_stages_of_an_empty_table(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd[1].limit(0), SF).collect() == [], name
+
+
+def test_a_byte_bpe_task_has_one_python_worker(spark, odd):
+    """Chained, encoding and decoding held a worker and a vocabulary each."""
+    plan = STAGES["byte_bpe"](spark, odd[1], SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
