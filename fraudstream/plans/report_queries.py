@@ -434,14 +434,22 @@ UNION ALL SELECT 'options', column_name, count(*)::DOUBLE FROM dict GROUP BY col
     ),
 )
 def q_holdout_export(spark, sf_dir):
-    """The export of the hold-out (rule score) written and read back: its counts, options and confusion cells."""
-    path = run_dir(spark, "runs/export")
-    txn = fixture.transactions(spark, sf_dir)
+    """The export of the hold-out (rule score) written and read back: its counts, options and confusion cells.
+
+    The dictionary, the cut, the counts and each document read the transactions: they are
+    written once, so the tables are joined once.
+    """
+    path, held = run_dir(spark, "runs/export"), run_dir(spark, "runs/export-input")
+    joined = fixture.transactions(spark, sf_dir)
+    joined.write.parquet(held)
+    txn = spark.read.schema(joined.schema).parquet(held)
     hold = fixture.holdout_split(txn)
     cutoff = sampling.exact_quantile_disc(hold, "unix_time", 0.5)
-    report = model.split_rows(fixture.train_split(txn), hold, cutoff) | {"model_version": "rule-v1"}
+    train = fixture.train_split(txn)
+    report = model.split_rows(train, hold, cutoff) | {"model_version": "rule-v1"}
+    dictionary = encoders.materialize(encoders.fit_dictionary(train))
     export.write_export(
-        rule_scored(hold), train_dictionary(spark, sf_dir), report, path, as_of=dt.datetime(2001, 9, 9, 1, 46, 40)
+        rule_scored(hold), dictionary, report, path, as_of=dt.datetime(2001, 9, 9, 1, 46, 40)
     )
     return export.read_facts(spark, path).filter(
         F.col("field").isin(

@@ -235,3 +235,23 @@ def test_candidates_of_both_classes_in_one_scan(labelled):
     legit = sorted(x for x in every if x[0] == 0)[:3]
     fraud = sorted((x for x in every if x[0] == 1), key=lambda x: (-x[1], x[2]))[:4]
     assert rows == sorted(legit + fraud)
+
+
+def test_export_joins_the_tables_once(spark, monkeypatch):
+    """Its dictionary, cut, counts and documents each joined the five tables anew."""
+    from fraudstream.operators import export
+    from fraudstream.plans.registry import registry
+    from fraudstream.sources import fixture
+    from tests.conftest import SF_SMALL
+
+    joins, seen = fixture.transactions, []
+    monkeypatch.setattr(fixture, "transactions", lambda *a: seen.append(a) or joins(*a))
+    write = export.write_export
+    read = []
+    monkeypatch.setattr(
+        export, "write_export", lambda scored, dictionary, *a, **k: read.extend(scored.inputFiles()) or write(scored, dictionary, *a, **k))
+    facts = {(r.document, r.field): r.value for r in registry()["holdout_export"].build(spark, SF_SMALL).collect()}
+    assert len(seen) == 1 and not [f for f in read if "lineitem" in f]
+    txn = joins(spark, SF_SMALL)
+    assert facts["model", "training_rows"] == fixture.train_split(txn).count()
+    assert facts["options", "merchant"] == fixture.train_split(txn).select("merchant").distinct().count()
