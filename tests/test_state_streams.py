@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fraudstream.operators import model, trace
+from fraudstream.plans import state_queries
+from fraudstream.schemas import EVENT_SCHEMA
+from fraudstream.sources.fixture import SPLIT_UNIX_TIME
 from fraudstream.sources.store import Store
 from fraudstream.streaming import job, late, messages, trace_state, versions
 from tests.test_contract import VALID
@@ -81,6 +84,24 @@ def test_published_messages_read_back(spark, workdir):
         messages.kafka_sink("", "dead")
 
 
+def _contract_events(spark):
+    """Ten events around the split's time, every fifth of which the contract rejects."""
+    rows = []
+    for i in range(10):
+        row = dict(VALID, trans_num=f"t-{i}", amt=float(i), unix_time=SPLIT_UNIX_TIME + (i - 4) * 86400)
+        if i % 5 == 0:
+            row["lat"] = 100.0
+        rows.append((f"t-{i}", *[row.get(f.name) for f in EVENT_SCHEMA.fields]))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_SCHEMA.fields)
+    return spark.createDataFrame(rows, f"record_key string, {fields}")
+
+
+def test_pair_query_reads_each_delivery_once(spark, monkeypatch):
+    monkeypatch.setattr(state_queries, "transaction_events", lambda spark, sf_dir: _contract_events(spark))
+    found = sorted((r.key, r.outcome) for r in state_queries.q_stream_pair(spark, "none").collect())
+    assert found == [(f"t-{i}", "scored" if i % 5 else "latitude_out_of_range") for i in range(10)]
+
+
 # ---------------------------------------------------------------- late rows
 
 
