@@ -254,6 +254,13 @@ def test_a_new_version_is_taken_between_batches(spark, workdir, fitted):
     assert both.count() == 0
 
 
+def test_versions_query_reads_each_delivery_once(spark, fitted, monkeypatch):
+    monkeypatch.setattr(state_queries, "transaction_events", lambda spark, sf_dir: _contract_events(spark))
+    monkeypatch.setattr(state_queries, "trained", lambda spark, sf_dir: (fitted, {}))
+    found = sorted(map(tuple, state_queries.q_stream_model_versions(spark, "none").collect()))
+    assert found == [("first", 3, 3), ("second", 5, 5)]  # t-1 to t-3 come before the split, t-4 and t-6 to t-9 after
+
+
 def test_store_writes_whole_files(spark, workdir):
     store = Store(spark, f"{workdir}/store")
     assert store.read("x") is None and store.names() == []
