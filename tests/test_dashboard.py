@@ -73,6 +73,17 @@ def test_trace_complete_and_latency(spark):
     assert r["t-2"].status == "processing" and r["t-2"].latency_ms is None
 
 
+def test_latency_summary_has_its_percentiles(spark):
+    def summary(rows):
+        return trace.latency_summary(spark.createDataFrame(rows, "status string, latency_ms long")).first().asDict()
+
+    got = summary([("complete", 10 * i) for i in range(1, 101)] + [("processing", None)] * 50)
+    assert (got["transactions"], got["complete"], got["processing"]) == (150, 100, 50)
+    assert (got["p50_latency_ms"], got["p95_latency_ms"]) == (500, 950)
+    none = summary([("processing", None)])
+    assert none["p50_latency_ms"] is None and none["p95_latency_ms"] is None
+
+
 def test_trace_join_and_lookup(spark):
     txn = spark.createDataFrame([("t-1",), ("t-9",)], "trans_num string")
     got = {x.trans_num: x.trace_status for x in trace.with_trace(txn, trace.rollup(_trace(spark, 2))).collect()}
