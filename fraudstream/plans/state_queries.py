@@ -207,12 +207,14 @@ def q_stream_trace_state(spark, sf_dir):
     trace = trace_from_events(spark, sf_dir)
     rows = trace.withColumn("delivery", F.pmod(F.xxhash64("trans_num", "stage"), F.lit(3)).cast("int"))
 
-    parts = trace_state.state_partitions(spark, read_events(spark, sf_dir).count())
+    count = read_events(spark, sf_dir).count()
+    parts = trace_state.state_partitions(spark, count)
+    groups = trace_state.state_groups(parts, count)
 
     def follow():
         stream = spark.readStream.schema(trace.schema).parquet(f"{run}/input")
         trace_state.start(
-            stream, out_dir=f"{run}/out", checkpoint=f"{run}/checkpoint", partitions=parts
+            stream, out_dir=f"{run}/out", checkpoint=f"{run}/checkpoint", partitions=parts, groups=groups
         ).awaitTermination()
 
     deliver(spark, rows, range(3), run, follow)

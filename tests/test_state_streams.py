@@ -209,6 +209,30 @@ def test_state_equals_the_batch_rollup_over_live_rows(spark, workdir):
     assert now["b"].status == "processing" and now["b"].amt is None
 
 
+def test_transactions_of_one_group_are_told_apart(spark, workdir):
+    """Groups are few and fixed by the checkpoint; only transactions that change are told of."""
+    day = 86400
+    deliveries = [
+        [_stage("a", 0, 0), _stage("b", 0, 10), _stage("c", 0, 20), _stage(None, 0, 30)],
+        [_stage("b", 3, 12), _stage("d", 0, day + 15)],
+        [_stage("c", 3, day - 10)],
+    ]
+    everything = []
+    for groups, rows in zip((1, 5, 7), deliveries):
+        everything += rows
+        spark.createDataFrame(rows, TRACE).coalesce(1).write.mode("append").parquet(f"{workdir}/in")
+        stream = spark.readStream.schema(TRACE).parquet(f"{workdir}/in")
+        trace_state.start(stream, out_dir=f"{workdir}/out", checkpoint=f"{workdir}/ck", partitions=2, groups=groups).awaitTermination()
+        wanted = trace.rollup(trace.live(spark.createDataFrame(everything, TRACE), max(r[1] for r in everything)))
+        columns = ["trans_num", "stages", "last_stage", "status", "latency_ms", "amt", "fraud_probability"]
+        found = trace_state.read_status(spark, f"{workdir}/out").select(columns).collect()
+        assert sorted(map(str, found)) == sorted(map(str, wanted.select(columns).collect()))
+    told = spark.read.parquet(f"{workdir}/out").groupBy("trans_num").count().collect()
+    # a comes and expires; b comes, changes and loses its rows at once; c comes, loses its
+    # first row in no batch (it lives) and changes; d and the nameless one come.
+    assert {r.trans_num: r["count"] for r in told} == {"a": 2, "b": 3, "c": 2, "d": 1, None: 1}
+
+
 # ---------------------------------------------------------------- model versions
 
 
