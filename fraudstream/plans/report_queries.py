@@ -328,23 +328,18 @@ SELECT property, (SELECT count(*) FROM holdout) AS rows, CAST(0 AS BIGINT) AS vi
 )
 def q_forest_properties(spark, sf_dir):
     """Rows of the hold-out that break a property of the fitted forest; each row is checked against all five."""
-    from pyspark.ml.functions import vector_to_array
-
     fitted, report = trained(spark, sf_dir)
     path = run_dir(spark, "runs/forest")
     model.save(fitted, path)
     again = model.load(path)
     threshold = report["applied_threshold"]
     hold = holdout(spark, sf_dir)
-    n = len(model.NUMERIC_MODEL_FEATURES)
-    own = F.array(*[F.col(c).cast("double") for c in model.NUMERIC_MODEL_FEATURES])
-    vectors = F.concat(*[vector_to_array(f"{c}_vector") for c in LABEL_COLUMNS])
-    scored = model.score(fitted, hold).withColumn("values", vector_to_array("features")).select(
+    scored = model.score(fitted, hold).select(
         "trans_num",
         "is_fraud",
         "is_fraud_prediction",
         "fraud_probability",
-        ((F.slice("values", 1, n) == own) & (F.slice("values", F.lit(n + 1), F.size(vectors)) == vectors)).alias("held"),
+        model.holds_inputs(model.NUMERIC_MODEL_FEATURES, [f"{c}_vector" for c in LABEL_COLUMNS]).alias("held"),
     )
     out = run_dir(spark, "runs/forest-rows")
     loaded = model.score(again, hold).select("trans_num", F.col("fraud_probability").alias("p2"), F.col("is_fraud_prediction").alias("d2"))
