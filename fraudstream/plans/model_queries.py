@@ -8,7 +8,6 @@ and the look-ups aren't worked out again for each split and query.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +118,7 @@ def q_ml_label_indexing(spark, sf_dir):
     return out.select(
         "trans_num",
         *[F.col(f"{c}_index").cast("int").alias(f"{c}_index") for c in LABEL_COLUMNS],
-        *[F.size(vector_to_array(f"{c}_vector")).alias(f"{c}_width") for c in LABEL_COLUMNS],
+        *[model.vector_size(f"{c}_vector").alias(f"{c}_width") for c in LABEL_COLUMNS],
     )
 
 
