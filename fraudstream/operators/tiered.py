@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import Store
-from .results import RESULT_KEY, clustered, latest_wins
+from .results import CODEC, RESULT_KEY, clustered, latest_wins
 
 #: Segments that are merged at once, and the size under which all are of the lowest tier.
 FAN, SMALLEST = 4, 1 << 20
@@ -94,12 +94,13 @@ class Table:
 
     # ------------------------------------------------------------ writing
 
-    def _write(self, rows: DataFrame, first: int, last: int) -> Segment:
+    def _write(self, rows: DataFrame, first: int, last: int, fold=None) -> Segment:
         name = uuid.uuid4().hex
         (
-            clustered(rows, (self.day_col, "shard"))
+            clustered(rows, (self.day_col, "shard"), fold)
             .withColumn("month", F.trunc(self.day_col, "month"))
-            .write.partitionBy("month")
+            .write.option("compression", CODEC)
+            .partitionBy("month")
             .parquet(self.store.path(f"segments/segment={name}"))
         )
         return Segment(name, first, last, self.store.size(f"segments/segment={name}"))
@@ -127,7 +128,10 @@ class Table:
             merge = neighbours(now.segments, fan, smallest)
             if not merge:
                 return now
-            made = self._write(latest_wins(self._rows(merge), key=self.key), merge[0].first, merge[-1].last)
+            # The newest rows are picked in the ranges that are written: a merge shuffles once.
+            made = self._write(
+                self._rows(merge), merge[0].first, merge[-1].last, lambda rows: latest_wins(rows, key=self.key)
+            )
 
             def swap(m: Manifest) -> Manifest | None:
                 if not set(merge) <= set(m.segments):  # one of them was replaced meanwhile

@@ -69,7 +69,7 @@ def q_tiered_results(spark, sf_dir):
     table = tiered.Table(spark, run_dir(spark, "runs/tiered"))
     rows = _rows(spark, sf_dir).withColumn("part", F.pmod(F.crc32(F.col("trans_num").cast("binary")), F.lit(5)))
     path = run_dir(spark, "runs/tiered-input")
-    rows.write.partitionBy("part").parquet(path)
+    rows.write.option("compression", results.CODEC).partitionBy("part").parquet(path)
     held = spark.read.parquet(path)
     for batch in (*range(5), 2):
         table.append(held.filter(F.col("part") == batch).drop("part"), batch)
